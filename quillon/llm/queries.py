@@ -5,18 +5,105 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import simhash
+from quillon.llm import decontaminate, html_text, mixing, simhash, suffix_dedup, toxicity
+
+#: Score from which a document is predicted toxic.
+TOXIC_FROM = 0.7
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = toxicity.score_texts(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_ball,)}
+def op6_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets: each dimension's shares of tokens, tempered. The tables have no topic; the first word's hash stands for it."""
+    docs = _read(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs.select("doc_id", "text", "source", "lang"), [F.col("source"), F.col("lang"), mixing.topic_of()])
+    m = "__mix"
+    return mixed.select("doc_id", F.col(f"{m}.d0").alias("source"), F.col(f"{m}.d1").alias("lang"), F.col(f"{m}.d2").alias("topic"), F.col(f"{m}.tokens").alias("tokens"), F.round(f"{m}.weight", 6).alias("weight"), F.col(f"{m}.probability").alias("probability"), F.col(f"{m}.sampled").alias("sampled"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    names = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op3_toxicity_counterfactual, op4_suffix_array_dedup, op5_simhash_ball, op6_html_tree_scoring, op9_mix_sources, op10_decontaminate)}
+
+_WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Kept as hexadecimal text, two digits for each byte.
+_OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+w AS (SELECT r, k, p, md5(substr(x, 2 * p + 1, 100)) AS h FROM (SELECT r, k, x, unnest(range(CAST(len(x) / 2 AS BIGINT) - 49)) AS p FROM d WHERE len(x) >= 100)),
+f AS (SELECT h, min(k) AS first FROM w GROUP BY h HAVING min(k) < max(k)),
+g AS (SELECT r, p FROM w JOIN f USING (h) WHERE k > first),
+n AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM g),
+s AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS i FROM n) GROUP BY r, i),
+t AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s),
+c AS (SELECT t.r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS stop, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM t JOIN d USING (r) GROUP BY t.r)
+SELECT doc_id, CAST(len(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN stop IS NULL THEN x ELSE kept || substr(x, 2 * stop + 1) END)) AS kept_sha256
+FROM d LEFT JOIN c USING (r)"""
+
+
+def _op9_sql() -> str:
+    """Fitting unrolled: one step for each round and dimension."""
+    dims = ("source", "lang", "topic")
+    sql = """
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '(other)') AS source, coalesce(lang, '(other)') AS lang,
+    substr(md5(regexp_extract(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+')), 1, 1) AS topic, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+')) AS tokens FROM documents),
+v0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS w, CAST(sum(tokens) AS DOUBLE) / sum(sum(tokens)) OVER () AS now FROM d GROUP BY ALL HAVING sum(tokens) > 0)"""
+    for x in dims:
+        sql += f",\nt_{x} AS MATERIALIZED (SELECT {x}, pow(sum(w), 0.7) / sum(pow(sum(w), 0.7)) OVER () AS share FROM v0 GROUP BY {x})"
+    step = 0
+    for _ in range(mixing.ROUNDS):
+        for x in dims:
+            sql += f",\nv{step + 1} AS MATERIALIZED (SELECT v.source, v.lang, v.topic, w, now * share / sum(now) OVER (PARTITION BY v.{x}) AS now FROM v{step} v JOIN t_{x} t ON v.{x} = t.{x})"
+            step += 1
+    return sql + f""",
+f AS MATERIALIZED (SELECT source, lang, topic, now / (w / sum(w) OVER ()) AS weight FROM v{step}),
+p AS MATERIALIZED (SELECT source, lang, topic, weight, round(weight / max(weight) OVER (), 6) AS probability FROM f)
+SELECT doc_id, d.source, d.lang, d.topic, CAST(tokens AS BIGINT) AS tokens, round(coalesce(weight, 0.0), 6) AS weight, coalesce(probability, 0.0) AS probability,
+       CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0 < coalesce(probability, 0.0) AS sampled
+FROM d LEFT JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"""
+
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_suffix_array_dedup": _OP4_SQL,
+    "op9_mix_sources": _op9_sql(),
+    "op10_decontaminate": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, p, p + least(len(w), 10) - 1), ' ') AS s
+       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM b WHERE len(w) > 0)),
+dw AS (SELECT r, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS s
+       FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM bw))),
+m AS (SELECT r, p, dw.n, item_id FROM dw JOIN bw ON dw.s = bw.s AND dw.n = bw.n),
+h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM m) GROUP BY r),
+i AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM m GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)""",
+}
