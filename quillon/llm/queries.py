@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, html_text, mixing, simhash, suffix_dedup, toxicity
+from quillon.llm import decontaminate, html_text, licenses, mixing, sentence_dedup, simhash, suffix_dedup, toxicity, vector_dedup, warc
 
 #: Score from which a document is predicted toxic.
 TOXIC_FROM = 0.7
@@ -15,6 +15,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_dedup.remove_repeated_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_sentences", "n_removed", "text")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     scored = toxicity.score_texts(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
@@ -34,6 +43,16 @@ def op6_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as response records, and from these their derivatives: identifiers, digests, and what the records hold."""
+    found = warc.derivatives(warc.responses(_read(spark, sf_dir, "pages")))
+    return found.select(F.col("id").alias("page_id"), "url", "response_id", "payload_digest", "digest_valid", "metadata_id", "metadata_digest", F.length("metadata").cast("long").alias("metadata_bytes"), "conversion_id", "conversion_digest", F.length("conversion").cast("long").alias("conversion_bytes"), "n_links", "text")
+
+
+def op8_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_read(spark, sf_dir, "embeddings")).withColumnsRenamed({"id": "vec_id", "component": "component_id"})
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets: each dimension's shares of tokens, tempered. The tables have no topic; the first word's hash stands for it."""
     docs = _read(spark, sf_dir, "documents")
@@ -49,14 +68,29 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity_counterfactual, op4_suffix_array_dedup, op5_simhash_ball, op6_html_tree_scoring, op9_mix_sources, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_sentence_span_dedup, op2_license_scan, op3_toxicity_counterfactual, op4_suffix_array_dedup, op5_simhash_ball, op6_html_tree_scoring, op7_warc_derivatives, op8_vector_forest, op9_mix_sources, op10_decontaminate)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*|[.!?\n]+') AS p FROM documents),
+u AS (SELECT r, k, unnest(p) AS piece, unnest(range(len(p))) AS i FROM d),
+s AS (SELECT r, k, i, trim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS j FROM u WHERE NOT regexp_full_match(piece, '[.!?\n]+|[ \t\r\n\f\v]+[.!?]*') OR regexp_full_match(piece, '[ \t\r\n\f\v]+[.!?]+')),
+w AS (SELECT r, k, j, t || chr(0) || lead(t, 1) OVER x || chr(0) || lead(t, 2) OVER x AS h, strlen(t) + strlen(lead(t, 1) OVER x) + strlen(lead(t, 2) OVER x) AS n FROM s WINDOW x AS (PARTITION BY r ORDER BY j)),
+v AS (SELECT * FROM w WHERE h IS NOT NULL AND n >= 40),
+f AS (SELECT h, min({'k': k, 'j': j}) AS first FROM v GROUP BY h HAVING count(*) > 1),
+g AS (SELECT DISTINCT r, unnest(range(j, j + 3)) AS j FROM v JOIN f USING (h) WHERE k <> first.k OR j <> first.j),
+x AS (SELECT s.r, s.i FROM s JOIN g ON s.r = g.r AND s.j = g.j),
+o AS (SELECT u.r, string_agg(piece, '' ORDER BY u.i) AS kept FROM u ANTI JOIN x ON u.r = x.r AND u.i = x.i GROUP BY u.r),
+c AS (SELECT r, count(*) AS n FROM s GROUP BY r), e AS (SELECT r, count(*) AS n FROM x GROUP BY r)
+SELECT doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_sentences, CAST(coalesce(e.n, 0) AS BIGINT) AS n_removed, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
+FROM d LEFT JOIN c USING (r) LEFT JOIN e USING (r) LEFT JOIN o USING (r)"""
+
 #: Kept as hexadecimal text, two digits for each byte.
 _OP4_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
-w AS (SELECT r, k, p, md5(substr(x, 2 * p + 1, 100)) AS h FROM (SELECT r, k, x, unnest(range(CAST(len(x) / 2 AS BIGINT) - 49)) AS p FROM d WHERE len(x) >= 100)),
+e AS (SELECT r, k, o, substr(x, 2 * o + 1, 1098) AS x FROM (SELECT r, k, x, unnest(range(0, CAST(len(x) / 2 AS BIGINT) - 49, 500)) AS o FROM d WHERE len(x) >= 100)),
+w AS (SELECT r, k, o + p AS p, md5(substr(x, 2 * p + 1, 100)) AS h FROM (SELECT r, k, o, x, unnest(range(CAST(len(x) / 2 AS BIGINT) - 49)) AS p FROM e)),
 f AS (SELECT h, min(k) AS first FROM w GROUP BY h HAVING min(k) < max(k)),
 g AS (SELECT r, p FROM w JOIN f USING (h) WHERE k > first),
 n AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM g),
@@ -91,6 +125,7 @@ FROM d LEFT JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.to
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_sentence_span_dedup": _OP1_SQL,
     "op4_suffix_array_dedup": _OP4_SQL,
     "op9_mix_sources": _op9_sql(),
     "op10_decontaminate": f"""
