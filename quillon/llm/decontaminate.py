@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillon.llm.common import as_bytes, materialize
 
@@ -161,9 +162,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col
     The items are a query set: the documents pass once for each block of ``block_words`` item
     words, so a large benchmark costs passes and not memory. Documents are never shuffled.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     other = items.schema[item_col].dataType.simpleString()
-    schema = f"id {kind}, text string, n_words long, runs array<struct<start:int,end:int>>, items array<{other}>"
+    schema = StructType([StructField("id", docs.schema[id_col].dataType)]).add("text", "string").add("n_words", "long").add("runs", "array<struct<start:int,end:int>>").add("items", f"array<{other}>")
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("runs"), F.array().cast(f"array<{other}>").alias("items"))
 
     def scanner(machine: Automaton):
@@ -207,11 +207,12 @@ def remove_contamination(docs: DataFrame, items: DataFrame, size: int = 10, max_
     A span is cut from its first word to its last. Documents without hits stay byte for byte, nulls included.
     """
     columns = docs.columns
-    found = find_contamination(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in columns])), items, size, "__row", text_col, item_col, item_text)
+    rest = F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in columns if c != text_col]).alias("__rest")
+    found = find_contamination(docs.select(rest, F.col(text_col).alias("text")), items, size, "__rest", "text", item_col, item_text)
     n_hit = F.aggregate("runs", F.lit(0), lambda a, r: a + r["end"] - r["start"])
     kept = found.where((F.size("runs") == 0) | (n_hit <= F.lit(max_share) * F.col("n_words")))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def cut(texts, runs):
         import pandas as pd
 

@@ -19,12 +19,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from quillon.llm.common import shuffle_partitions
+
 #: Bytes of text in a block, unless one text is longer; bytes of text for each range of hashes.
-BLOCK_BYTES, RANGE_BYTES = 2 << 20, 16 << 20
+BLOCK_BYTES, RANGE_BYTES = 1 << 20, 8 << 20
 #: What a null id counts as: larger than any other.
 NO_ID = np.iinfo(np.int64).max
 
 
+def trim() -> None:
+    """Give freed memory back to the machine: executors share it among many workers."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def zip_arrays(*arrays: np.ndarray) -> bytes:
     """Arrays of one length each, byte planes apart, compressed."""
     import zstandard
@@ -48,7 +61,11 @@ def unzip_arrays(blob: bytes, n: int, *kinds) -> list[np.ndarray]:
 
 
 def pack(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, blob): all rows of ``docs`` with all columns, in compressed blocks of about ``block_bytes`` of text."""
+    """(block, blob): all rows of ``docs`` with all columns, in compressed blocks of about ``block_bytes`` of text.
+
+    The blocks are dealt out once; whatever asks or meets them in the same query reads that one
+    shuffle, so blocks keep their numbers even if the input would be split otherwise another time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -61,7 +78,7 @@ def pack(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES
                 yield pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.array([_write(b.slice(at[0], len(at)))], pa.binary())], ["block", "blob"])
                 seq += 1
 
-    return docs.mapInArrow(run, "block long, blob binary")
+    return docs.mapInArrow(run, "block long, blob binary").repartition(shuffle_partitions(docs.sparkSession), "block")
 
 
 def _write(batch: pa.RecordBatch) -> bytes:
@@ -92,22 +109,24 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def ask(blocks: DataFrame, question: Callable[[pa.Table], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
     """Rows (part, block, n, data) that ``question`` makes of each block's (part, n, data)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                yield _rows([(p, block, n, d) for p, n, d in question(read_block(blob.as_py()))])
+    def run(table: pa.Table) -> pa.Table:
+        rows = [(p, block, n, d) for block, blob in zip(table["block"].to_pylist(), table["blob"].to_pylist()) for p, n, d in question(read_block(blob))]
+        trim()
+        return pa.Table.from_batches([_rows(rows)])
 
-    return blocks.mapInArrow(run, _ASKED)
+    return blocks.groupBy("block").applyInArrow(run, _ASKED)
 
 
 def answer(asked: DataFrame, reply: Callable[[list[tuple[int, int, bytes]]], Iterator[tuple[int, int, bytes]]], mark: int = 0) -> DataFrame:
-    """Rows (part, block, n, data) that ``reply`` makes of a part's (block, n, data); ``mark`` becomes the part."""
+    """Rows (part, block, n, data) that ``reply`` makes of a part's (block, n, data), dealt by block; ``mark`` becomes the part."""
 
     def run(table: pa.Table) -> pa.Table:
         got = sorted(zip(table["block"].to_pylist(), table["n"].to_pylist(), table["data"].to_pylist()))
-        return pa.Table.from_batches([_rows([(mark, *x) for x in reply(got)])])
+        rows = [(mark, *x) for x in reply(got)]
+        trim()
+        return pa.Table.from_batches([_rows(rows)])
 
-    return asked.groupBy("part").applyInArrow(run, _ASKED)
+    return asked.groupBy("part").applyInArrow(run, _ASKED).repartition(shuffle_partitions(asked.sparkSession), "block")
 
 
 def meet(blocks: DataFrame, answers: DataFrame, work: Callable[[int, pa.Table, list[tuple[int, int, bytes]]], pa.Table], schema: str) -> DataFrame:
@@ -117,6 +136,7 @@ def meet(blocks: DataFrame, answers: DataFrame, work: Callable[[int, pa.Table, l
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [work(block, read_block(blob), sorted(zip(right["part"].to_pylist(), right["n"].to_pylist(), right["data"].to_pylist()))) for block, blob in zip(left["block"].to_pylist(), left["blob"].to_pylist())]
+        trim()
         return pa.concat_tables(out) if out else empty
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import materialize
+
 #: Most cells that may come to the driver: the product of the numbers of targets.
 MAX_CELLS = 1_000_000
 OTHER = "(other)"
@@ -56,7 +58,7 @@ def tempered(counts: dict[str, float], power: float) -> dict[str, float]:
 
 def token_count(text_col: str = "text") -> Column:
     """Words between white space; null has none."""
-    return F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")).cast("long")
+    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^ \t\n\r\f\x0B]+")).cast("long")
 
 
 def topic_of(text_col: str = "text") -> Column:
@@ -83,17 +85,19 @@ def mix(docs: DataFrame, dims: list[Column], targets: list[dict[str, float]] | N
     tokens = token_count() if tokens is None else tokens
     names = [f"d{i}" for i in range(len(dims))]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), tokens.alias("tokens"), *[F.coalesce(d.cast("string"), F.lit(OTHER)).alias(n) for d, n in zip(dims, names)])
+    seen = materialize(keyed.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")  # the texts are read once for this
     if targets is None:
         targets = []
         for n in names:
-            counts = keyed.groupBy(n).agg(F.sum("tokens").alias("w")).orderBy(F.desc("w"), n).limit(most_categories).collect()
+            counts = seen.groupBy(n).agg(F.sum("tokens").alias("w")).orderBy(F.desc("w"), n).limit(most_categories).collect()
             targets.append(tempered({r[0]: float(r[1]) for r in counts}, power))
     size = int(np.prod([len(t) + 1 for t in targets]))
     if size > MAX_CELLS:
         raise ValueError(f"the targets make {size} cells; at most {MAX_CELLS} are allowed")
     for n, t in zip(names, targets):
-        keyed = keyed.withColumn(n, F.when(F.col(n).isin(*t), F.col(n)).otherwise(F.lit(OTHER))) if t else keyed.withColumn(n, F.lit(OTHER))
-    cells = {tuple(r[:-1]): float(r[-1]) for r in keyed.groupBy(*names).agg(F.sum("tokens")).collect()}
+        own = F.when(F.col(n).isin(*t), F.col(n)).otherwise(F.lit(OTHER)) if t else F.lit(OTHER)
+        keyed, seen = keyed.withColumn(n, own), seen.withColumn(n, own)
+    cells = {tuple(r[:-1]): float(r[-1]) for r in seen.groupBy(*names).agg(F.sum("tokens")).collect()}
     factors = fit_weights(cells, targets, rounds)
     top = max(factors.values(), default=0.0) or 1.0
     scale = 1 / top

@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import as_bytes, materialize
@@ -161,10 +161,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(named, rows.fp == named.f).select("id", "fp", "component")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """The documents whose id names their component, with all their columns; one row if that id is repeated."""
-    first = simhash_components(docs, id_col, text_col).where("id = component").select(F.col("id").alias(id_col)).distinct()
-    one = docs.join(first, id_col, "left_semi")
-    repeated = docs.groupBy(id_col).count().where("count > 1").select(id_col)
-    once = one.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-    return one.join(repeated, id_col, "left_anti").union(once)
+    first = simhash_components(docs, id_col, text_col, words).where("id = component").select(F.col("id").alias(id_col)).distinct()
+    one = docs.join(first, id_col, "left_semi").select(docs.columns)
+    # rows with one id are in one partition after the join; of them the smallest text stays
+    order = Window.partitionBy(id_col).orderBy(text_col)
+    return one.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")

@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quillon.llm import exchange
-from quillon.llm.common import materialize
 
 _K = 20
 #: Different segments under one rank above which they are dealt by window.
@@ -343,7 +342,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, columns: list[str], wi
     parts = exchange.ranges_for(docs, text_col)
     blocks = exchange.pack(docs, text_col)
     asked = exchange.ask(blocks, _ask_ranks(id_col, text_col, width, parts))
-    told = materialize(exchange.answer(asked, _answer_ranks), "ranks")
+    told = exchange.answer(asked, _answer_ranks)
     sent = exchange.meet(blocks, told, _send_bytes(id_col, text_col, width, parts), exchange._ASKED)
     ranked = exchange.answer(sent, _rank_bytes(width), mark=1)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)

@@ -155,6 +155,17 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, score double")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows, all columns, whose score is under ``threshold``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([model.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """True for the rows no label is learned from: crc32 of the id as text leaves 1 when divided by 3. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
