@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from quillon.llm.common import as_bytes, materialize
 
@@ -163,7 +163,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col
     words, so a large benchmark costs passes and not memory. Documents are never shuffled.
     """
     other = items.schema[item_col].dataType.simpleString()
-    schema = StructType([StructField("id", docs.schema[id_col].dataType)]).add("text", "string").add("n_words", "long").add("runs", "array<struct<start:int,end:int>>").add("items", f"array<{other}>")
+    run = StructType().add("start", "integer").add("end", "integer")
+    schema = StructType().add("id", docs.schema[id_col].dataType).add("text", "string").add("n_words", "long").add("runs", ArrayType(run)).add("items", ArrayType(items.schema[item_col].dataType))
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("runs"), F.array().cast(f"array<{other}>").alias("items"))
 
     def scanner(machine: Automaton):
