@@ -112,7 +112,7 @@ class Segments:
         last = np.minimum(last, self.ends[doc] - width + 1) if n else last
         keep = (last > first) & valid[first] if n else np.zeros(0, bool)
         self.first, self.last, self.doc = first[keep], last[keep], doc[keep]
-        rank = rank[self.first]
+        rank = _mix(rank[self.first])  # minima crowd at small numbers; mixed, they are dealt evenly
         content = (sums[self.last + width - 8] - sums[self.first]) * down[self.first]
         content = _mix(content + (self.last - self.first).astype(np.uint64) * _C)
         own = ids[self.doc]
