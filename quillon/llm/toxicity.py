@@ -9,7 +9,6 @@ mention of a group does not move the score.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,7 +64,7 @@ class Model:
         for w in words_in(as_bytes(text)):
             own = seen.get(w)
             if own is None:
-                if len(seen) > 300_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 own = seen[w] = tuple(f for f in word_features(w) if f in weights)
             if own:
@@ -90,6 +89,24 @@ def counterfactuals(texts: list[bytes]) -> list[tuple[bytes, bytes]]:
     return pairs
 
 
+def _numbered(texts: list[bytes], numbers: dict[bytes, int]) -> list[np.ndarray]:
+    """The numbers of each text's features; new features get the next ones."""
+    known: dict[bytes, tuple[int, ...]] = {}
+    out = []
+    for t in texts:
+        found: set[int] = set()
+        for w in words_in(t):
+            if w not in known:
+                known[w] = tuple(numbers.setdefault(f, len(numbers)) for f in word_features(w))
+            found.update(known[w])
+        out.append(np.fromiter(found, np.int32, len(found)))
+    return out
+
+
+def _columns(sentence: bytes, at: dict[bytes, int]) -> list[int]:
+    return sorted({at[f] for w in words_in(sentence) for f in word_features(w) if f in at})
+
+
 def fit(texts: list[bytes], labels: np.ndarray, swap_weight: float = 1.0, l2: float = 1e-3, rounds: int = 300, most: int = 4000, at_least: int = 4) -> Model:
     """Fit the model. Without both classes the score is the share of label 1 for every text."""
     labels = np.asarray(labels, float)
@@ -97,36 +114,31 @@ def fit(texts: list[bytes], labels: np.ndarray, swap_weight: float = 1.0, l2: fl
     bias = float(np.log(share / (1 - share)))
     if not len(labels) or labels.min() == labels.max():
         return Model({}, bias)
-    docs = [{f for w in words_in(t) for f in word_features(w)} for t in texts]
-    inside, outside = Counter(), Counter()
-    for d, y in zip(docs, labels):
-        (inside if y else outside).update(d)
+    numbers: dict[bytes, int] = {}
+    docs = _numbered(texts, numbers)
+    share_of = lambda y: np.bincount(np.concatenate([d for d, own in zip(docs, labels) if own == y]), minlength=len(numbers))
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     even = np.where(labels > 0, n0 / n1, 1.0) if n1 < n0 else np.where(labels > 0, 1.0, n1 / n0)  # both classes weigh the same
     even *= len(labels) / even.sum()
     # a feature is used if the classes differ in it beyond chance (log-odds over its standard error)
-    scored = []
-    for f in inside.keys() | outside.keys():
-        a, b = inside[f], outside[f]
-        if a + b >= at_least:
-            odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-            z = odds / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-            if abs(z) >= 4 and abs(odds) >= 1:
-                scored.append((-abs(z), f))
-    names = sorted(f for _, f in sorted(scored)[:most])
+    a, b = share_of(1), share_of(0)
+    odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
+    z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
+    telling, feature = np.flatnonzero((a + b >= at_least) & (z >= 4) & (np.abs(odds) >= 1)), list(numbers)
+    names = sorted(f for _, f in sorted((-z[i], feature[i]) for i in telling.tolist())[:most])
     if not names:
         return Model({}, bias)
     at = {f: i for i, f in enumerate(names)}
+    column = np.full(len(numbers), -1, np.int64)
+    column[[numbers[f] for f in names]] = np.arange(len(names))
 
-    def matrix(rows):
-        lists = [sorted(at[f] for f in d if f in at) for d in rows]
+    def matrix(lists):
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([j for x in lists for j in x], np.int64), len(lists)
 
-    r, c, n = matrix(docs)
+    r, c, n = matrix([np.sort(column[d][column[d] >= 0]) for d in docs])
     pairs = counterfactuals(texts)
-    feature_sets = [[{f for w in words_in(s) for f in word_features(w)} for s in side] for side in zip(*pairs)] if pairs else [[], []]
-    pr, pc, pn = matrix(feature_sets[0])
-    qr, qc, _ = matrix(feature_sets[1])
+    pr, pc, pn = matrix([_columns(s, at) for s, _ in pairs])
+    qr, qc, _ = matrix([_columns(s, at) for _, s in pairs])
     w, b0 = np.zeros(len(names)), bias
     m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
     for step in range(1, rounds + 1):
