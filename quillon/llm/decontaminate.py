@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from quillon.llm.common import as_bytes, materialize
 
@@ -154,20 +154,21 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, limit: int) -> Itera
         yield block
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
     """(id, n_words, runs, items) for every row: its hit words as runs [start, end) and the items whose windows occur.
 
     Null or empty texts have no words and no hits; without items nothing is hit. Items with the
     same id count once; items with a null id hit words but are not named. Repeated rows stay.
     The items are a query set: the documents pass once for each block of ``block_words`` item
-    words, so a large benchmark costs passes and not memory. Documents are never shuffled.
+    words, so a large benchmark costs passes and not memory. Documents are never shuffled. With ``cut``
+    the column text has the texts without their hit spans.
     """
     other = items.schema[item_col].dataType.simpleString()
     run = StructType().add("start", "integer").add("end", "integer")
     schema = StructType().add("id", docs.schema[id_col].dataType).add("text", "string").add("n_words", "long").add("runs", ArrayType(run)).add("items", ArrayType(items.schema[item_col].dataType))
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("runs"), F.array().cast(f"array<{other}>").alias("items"))
 
-    def scanner(machine: Automaton):
+    def scanner(machine: Automaton, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 count, runs, named = [], [], []
@@ -177,19 +178,19 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col
                     count.append(len(words))
                     runs.append(_merge([(r["start"], r["end"]) for r in old] + new) if old else new)
                     named.append(sorted({*known, *(i for i in hit if i is not None)}))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(count, pa.int64()), pa.array([[{"start": s, "end": e} for s, e in r] for r in runs], b.schema.field(3).type), pa.array(named, b.schema.field(4).type)], ["id", "text", "n_words", "runs", "items"])
+                texts = pa.array([_cut(t, r) for t, r in zip(b.column(1).to_pylist(), runs)], pa.string()) if cut and last else b.column(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), texts, pa.array(count, pa.int64()), pa.array([[{"start": s, "end": e} for s, e in r] for r in runs], b.schema.field(3).type), pa.array(named, b.schema.field(4).type)], ["id", "text", "n_words", "runs", "items"])
 
         return run
 
-    passes = 0
-    for block in _blocks(items, item_col, item_text, block_words):
-        if passes:
-            found = materialize(found, "scanned")
-        found = found.mapInArrow(scanner(Automaton(block, size)), schema)
-        passes += 1
-    if not passes:
-        found = found.mapInArrow(scanner(Automaton([], size)), schema)
-    return found
+    blocks = _blocks(items, item_col, item_text, block_words)
+    block = next(blocks, [])
+    while True:
+        following = next(blocks, None)
+        found = found.mapInArrow(scanner(Automaton(block, size), following is None), schema)
+        if following is None:
+            return found
+        found, block = materialize(found, "scanned"), following
 
 
 def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -209,18 +210,10 @@ def remove_contamination(docs: DataFrame, items: DataFrame, size: int = 10, max_
     """
     columns = docs.columns
     rest = F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in columns if c != text_col]).alias("__rest")
-    found = find_contamination(docs.select(rest, F.col(text_col).alias("text")), items, size, "__rest", "text", item_col, item_text)
+    found = find_contamination(docs.select(rest, F.col(text_col).alias("text")), items, size, "__rest", "text", item_col, item_text, cut=True)
     n_hit = F.aggregate("runs", F.lit(0), lambda a, r: a + r["end"] - r["start"])
     kept = found.where((F.size("runs") == 0) | (n_hit <= F.lit(max_share) * F.col("n_words")))
-
-    @F.pandas_udf(StringType())
-    def cut(texts, runs):
-        import pandas as pd
-
-        return pd.Series([_cut(t, [(r["start"], r["end"]) for r in rs]) for t, rs in zip(texts, runs)], dtype=object)
-
-    text = F.when(F.size("runs") == 0, F.col("text")).otherwise(cut("text", "runs"))
-    return kept.select(*[(text if c == text_col else F.col(f"id.`{c}`")).alias(c) for c in columns])
+    return kept.select(*[(F.col("text") if c == text_col else F.col(f"id.`{c}`")).alias(c) for c in columns])
 
 
 def _cut(text: str | None, runs: list[tuple[int, int]]) -> str | None:

@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from quillon.llm import exchange
 
@@ -330,9 +329,9 @@ def _cut(id_col: str, text_col: str, width: int, columns: list[str], with_kept:
         begins[edge] = gone[edge]
         spans = np.r_[0, np.cumsum(begins)]
         removed, runs = total[g.ends] - total[g.starts], spans[g.ends] - spans[g.starts]
-        kept = [t if not k else g.bytes[s:e][~gone[s:e]].tobytes() for t, s, e, k in zip(g.texts, g.starts.tolist(), g.ends.tolist(), removed.tolist())]
+        kept = [(None if with_kept else t) if not k else g.bytes[s:e][~gone[s:e]].tobytes() for t, s, e, k in zip(g.texts, g.starts.tolist(), g.ends.tolist(), removed.tolist())]
         out = [table[c] for c in columns] + [pa.array(g.ends - g.starts, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
-        out.append(pa.array(kept, pa.binary()) if with_kept else pa.array([sha256(k).hexdigest() for k in kept], pa.string()))
+        out.append(pa.array([k if k is None else k.decode("utf-8", "ignore") for k in kept] if with_kept else [sha256(k).hexdigest() for k in kept], pa.string()))
         return pa.table(out, [*columns, "__n_bytes", "__n_removed", "__n_spans", "__kept"])
 
     return work
@@ -346,7 +345,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, columns: list[str], wi
     sent = exchange.meet(blocks, told, _send_bytes(id_col, text_col, width, parts), exchange._ASKED)
     ranked = exchange.answer(sent, _rank_bytes(width), mark=1)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    schema = f"{kinds}, __n_bytes long, __n_removed long, __n_spans long, __kept {'binary' if with_kept else 'string'}"
+    schema = f"{kinds}, __n_bytes long, __n_removed long, __n_spans long, __kept string"
     return exchange.meet(blocks, told.union(ranked), _cut(id_col, text_col, width, columns, with_kept), schema)
 
 
@@ -369,11 +368,6 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts without repeats stay as they are, nulls and empty ones too. Characters of which only a part is left are dropped.
     """
     found = _repeats(docs, id_col, text_col, docs.columns, width, True)
-    text = F.when(F.col("__n_removed") == 0, F.col(text_col)).otherwise(_decode("__kept"))
+    text = F.when(F.col("__n_removed") == 0, F.col(text_col)).otherwise(F.col("__kept"))
     left = found.where("__n_removed = 0 OR __n_removed < __n_bytes")
     return left.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
-
-
-@F.pandas_udf(StringType())
-def _decode(kept):
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
