@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize
 
-#: Most cells that may come to the driver: the product of the numbers of targets.
-MAX_CELLS = 1_000_000
+#: Most occurring cells that are fitted on the driver; more are fitted by Spark aggregates.
+MAX_CELLS = 200_000
 OTHER = "(other)"
 #: Rounds of fitting; each scales all dimensions once.
 ROUNDS = 20
@@ -49,6 +49,31 @@ def fit_weights(cells: dict[tuple, float], targets: list[dict[str, float]], roun
     return dict.fromkeys(cells, 0.0) | dict(zip(keys, (now / w).tolist()))
 
 
+def fit_apart(cells: DataFrame, names: list[str], targets: list[dict[str, float]] | None, power: float, rounds: int = ROUNDS) -> DataFrame:
+    """``fit_weights`` by aggregates: ``cells`` has ``names`` and ``tokens``, ``weight`` is added. Without targets the shares are ``tempered``."""
+    spark = cells.sparkSession
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    now = cells.where("tokens > 0").withColumn("now", F.col("tokens") / F.lit(total or 1.0))
+    shares = []
+    for d, n in enumerate(names):
+        own = now.groupBy(n).agg(F.sum("tokens").cast("double").alias("own"))
+        if targets is None:
+            own = own.withColumn("share", F.pow("own", F.lit(power)))
+        else:
+            given = spark.createDataFrame(sorted(targets[d].items()), f"{n} string, share double")
+            own = materialize(own.join(given, n, "left"), "shares")
+            met, free = own.agg(F.sum("share"), F.sum(F.when(F.col("share").isNull(), F.col("own")))).first()
+            own = own.withColumn("share", F.coalesce("share", F.lit(max(0.0, 1 - (met or 0.0))) * F.col("own") / F.lit(free or 1.0)))
+        own = materialize(own.select(n, "share"), "shares")
+        shares.append(own.withColumn("share", F.col("share") / F.lit(own.agg(F.sum("share")).first()[0] or 1.0)))
+    for _ in range(rounds):
+        for n, share in zip(names, shares):
+            scale = now.groupBy(n).agg(F.sum("now").alias("s")).join(share, n).select(n, F.when(F.col("s") > 0, F.col("share") / F.col("s")).otherwise(0.0).alias("x"))
+            now = materialize(now.join(scale, n).select(*names, "tokens", (F.col("now") * F.col("x")).alias("now")), "fit")
+    fitted = now.select(*names, "tokens", (F.col("now") / (F.col("tokens") / F.lit(total or 1.0))).alias("weight"))
+    return materialize(fitted.union(cells.where("NOT tokens > 0").select(*names, "tokens", F.lit(0.0))), "cells")
+
+
 def tempered(counts: dict[str, float], power: float) -> dict[str, float]:
     """Targets from observed weights: shares of ``weight ** power``; a power under 1 lifts what is rare."""
     raised = {k: v**power for k, v in counts.items() if v > 0}
@@ -71,42 +96,49 @@ def unit_hash(id_col: str, seed: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def mix(docs: DataFrame, dims: list[Column], targets: list[dict[str, float]] | None = None, tokens: Column | None = None, id_col: str = "doc_id", power: float = 0.7, budget: float | None = None, most_categories: int = 1000, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, dims: list[Column], targets: list[dict[str, float]] | None = None, tokens: Column | None = None, id_col: str = "doc_id", power: float = 0.7, budget: float | None = None, rounds: int = ROUNDS) -> DataFrame:
     """All rows with ``tokens``, ``weight``, ``probability`` and ``sampled`` added (in ``__mix``).
 
     ``targets`` has a share for each category and dimension; None takes them from the observed
-    weights of the ``most_categories`` heaviest by ``tempered(.., power)``. Categories that have no target fall together under
-    "(other)", nulls too, so the cells are bounded by the targets and not by the data. Weights
-    are the fitted factors; probabilities are proportional to them, with the largest at 1, or
-    scaled down to ``budget`` expected tokens. Documents without tokens have their cell's
-    probability. Repeated ids are sampled together; an empty table gives no rows.
+    weights of all categories by ``tempered(.., power)``. Categories without one of the given
+    targets fall together under "(other)", and nulls always. Up to ``MAX_CELLS`` occurring cells
+    are fitted on the driver, more by ``fit_apart``. Weights are the fitted factors; probabilities
+    are proportional to them, with the largest at 1, or scaled down to ``budget`` expected tokens.
+    Documents without tokens have their cell's probability. Repeated ids are sampled together; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     tokens = token_count() if tokens is None else tokens
     names = [f"d{i}" for i in range(len(dims))]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), tokens.alias("tokens"), *[F.coalesce(d.cast("string"), F.lit(OTHER)).alias(n) for d, n in zip(dims, names)])
+    for n, t in zip(names, targets or []):
+        keyed = keyed.withColumn(n, F.when(F.col(n).isin(*t), F.col(n)).otherwise(F.lit(OTHER)) if t else F.lit(OTHER))
     seen = materialize(keyed.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")  # the texts are read once for this
-    if targets is None:
-        targets = []
-        for n in names:
-            counts = seen.groupBy(n).agg(F.sum("tokens").alias("w")).orderBy(F.desc("w"), n).limit(most_categories).collect()
-            targets.append(tempered({r[0]: float(r[1]) for r in counts}, power))
-    size = int(np.prod([len(t) + 1 for t in targets]))
-    if size > MAX_CELLS:
-        raise ValueError(f"the targets make {size} cells; at most {MAX_CELLS} are allowed")
-    for n, t in zip(names, targets):
-        own = F.when(F.col(n).isin(*t), F.col(n)).otherwise(F.lit(OTHER)) if t else F.lit(OTHER)
-        keyed, seen = keyed.withColumn(n, own), seen.withColumn(n, own)
-    cells = {tuple(r[:-1]): float(r[-1]) for r in seen.groupBy(*names).agg(F.sum("tokens")).collect()}
-    factors = fit_weights(cells, targets, rounds)
-    top = max(factors.values(), default=0.0) or 1.0
-    scale = 1 / top
+    if seen.count() <= MAX_CELLS:
+        cells = {tuple(r[:-1]): float(r[-1]) for r in seen.collect()}
+        if targets is None:
+            targets = [tempered(_along(cells, d), power) for d in range(len(names))]
+        factors = fit_weights(cells, targets, rounds)
+        top, expected = max(factors.values(), default=0.0), sum(cells[k] * f for k, f in factors.items())
+        table = spark.createDataFrame([(*k, float(f)) for k, f in sorted(factors.items())], ", ".join(f"{n} string" for n in names) + ", weight double")
+        place = F.broadcast  # bounded by MAX_CELLS
+    else:
+        fitted = fit_apart(seen, names, targets, power, rounds)
+        top, expected = fitted.agg(F.max("weight"), F.sum(F.col("tokens") * F.col("weight"))).first()
+        table, place = fitted.select(*names, "weight"), lambda x: x
+    scale = 1 / (top or 1.0)
     if budget is not None:
-        expected = sum(cells[k] * f * scale for k, f in factors.items())
-        scale *= min(1.0, budget / expected) if expected else 1.0
-    rows = [(*k, float(f), round(f * scale, 6)) for k, f in sorted(factors.items())]
-    table = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", weight double, probability double")
-    found = keyed.join(F.broadcast(table), names)  # bounded by MAX_CELLS, checked above
+        scale *= min(1.0, budget / (expected * scale)) if expected else 1.0
+    table = table.withColumn("probability", F.round(F.col("weight") * F.lit(scale), 6))
+    found = keyed.join(place(table), names)
     found = found.withColumn("__u", unit_hash(f"__doc.`{id_col}`"))
     extra = F.struct("tokens", *names, "weight", "probability", (F.col("__u") < F.col("probability")).alias("sampled")).alias("__mix")
     return found.select(*[F.col(f"__doc.`{c}`") for c in docs.columns], extra)
+
+
+def _along(cells: dict[tuple, float], d: int) -> dict[str, float]:
+    """Summed weights of the categories of a dimension."""
+    out: dict[str, float] = {}
+    for k, w in cells.items():
+        out[k[d]] = out.get(k[d], 0.0) + w
+    return out
