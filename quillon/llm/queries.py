@@ -73,18 +73,28 @@ QUERIES = {f.__name__: f for f in (op1_sentence_span_dedup, op2_license_scan, op
 _WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _OP1_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*|[.!?\n]+') AS p FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, text,
+    regexp_extract_all(coalesce(text, ''), '[ \t\r\f\v]*[^ \t\r\f\v\n.!?]+[.!?]*|[ \t\r\f\v]*[.!?\n]+|[ \t\r\f\v]+') AS p FROM documents),
 u AS (SELECT r, k, unnest(p) AS piece, unnest(range(len(p))) AS i FROM d),
-s AS (SELECT r, k, i, trim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS j FROM u WHERE NOT regexp_full_match(piece, '[.!?\n]+|[ \t\r\n\f\v]+[.!?]*') OR regexp_full_match(piece, '[ \t\r\n\f\v]+[.!?]+')),
-w AS (SELECT r, k, j, t || chr(0) || lead(t, 1) OVER x || chr(0) || lead(t, 2) OVER x AS h, strlen(t) + strlen(lead(t, 1) OVER x) + strlen(lead(t, 2) OVER x) AS n FROM s WINDOW x AS (PARTITION BY r ORDER BY j)),
-v AS (SELECT * FROM w WHERE h IS NOT NULL AND n >= 40),
-f AS (SELECT h, min({'k': k, 'j': j}) AS first FROM v GROUP BY h HAVING count(*) > 1),
-g AS (SELECT DISTINCT r, unnest(range(j, j + 3)) AS j FROM v JOIN f USING (h) WHERE k <> first.k OR j <> first.j),
-x AS (SELECT s.r, s.i FROM s JOIN g ON s.r = g.r AND s.j = g.j),
-o AS (SELECT u.r, string_agg(piece, '' ORDER BY u.i) AS kept FROM u ANTI JOIN x ON u.r = x.r AND u.i = x.i GROUP BY u.r),
-c AS (SELECT r, count(*) AS n FROM s GROUP BY r), e AS (SELECT r, count(*) AS n FROM x GROUP BY r)
-SELECT doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_sentences, CAST(coalesce(e.n, 0) AS BIGINT) AS n_removed, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
-FROM d LEFT JOIN c USING (r) LEFT JOIN e USING (r) LEFT JOIN o USING (r)"""
+w AS (SELECT r, k, i, piece, ltrim(piece, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS word FROM u),
+x AS MATERIALIZED (SELECT *, NOT (word = '' OR word[1] IN ('.', '!', '?', chr(10))) AS is_word,
+    word = '' OR word[1] IN ('.', '!', '?', chr(10)) OR word[-1] IN ('.', '!', '?') OR substr(md5(word), 1, 1) < '4' AS ends FROM w),
+y AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM x),
+s AS (SELECT r, k, g, min(i) AS a, max(i) AS b, string_agg(word, ' ' ORDER BY i) AS t FROM y WHERE is_word GROUP BY r, k, g),
+n AS MATERIALIZED (SELECT *, row_number() OVER v AS j, sum(greatest(len(t) - len(replace(t, ' ', '')) + 1, strlen(t) // 12)) OVER v AS c FROM s WINDOW v AS (PARTITION BY r ORDER BY g ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT r, count(*) AS n, list(t ORDER BY j) AS parts FROM n GROUP BY r),
+z AS (SELECT n.r, n.k, n.j, coalesce(lag(n.c) OVER (PARTITION BY n.r ORDER BY n.j), 0) + 25 AS need FROM n),
+e AS (SELECT z.r, z.k, z.j, greatest(n.j, z.j + 2) AS stop FROM z ASOF JOIN n ON z.r = n.r AND n.c >= z.need),
+f AS (SELECT e.r, e.k, e.j, e.stop FROM e JOIN m USING (r) WHERE e.stop <= m.n),
+v AS (SELECT * FROM f UNION ALL SELECT r, d.k, 1, m.n FROM m JOIN d USING (r) WHERE r NOT IN (SELECT r FROM f)),
+h AS MATERIALIZED (SELECT v.r, v.k, v.j, v.stop, md5(array_to_string(list_slice(m.parts, v.j, v.stop), chr(10))) AS h FROM v JOIN m USING (r)),
+o AS (SELECT h, min({'k': k, 'j': j}) AS first FROM h GROUP BY h HAVING count(*) > 1),
+q AS (SELECT DISTINCT r, unnest(range(j, stop + 1)) AS j FROM h JOIN o USING (h) WHERE k <> first.k OR j <> first.j),
+c AS (SELECT r, count(*) AS n FROM q GROUP BY r),
+l AS (SELECT DISTINCT r, unnest(range(a, b + 1)) AS i FROM q JOIN n USING (r, j)),
+t AS (SELECT u.r, string_agg(piece, '' ORDER BY u.i) AS kept FROM u ANTI JOIN l ON u.r = l.r AND u.i = l.i GROUP BY u.r)
+SELECT doc_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_sentences, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
+FROM d LEFT JOIN m USING (r) LEFT JOIN c USING (r) LEFT JOIN t USING (r)"""
 
 #: Kept as hexadecimal text, two digits for each byte.
 _OP4_SQL = """

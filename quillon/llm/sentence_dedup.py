@@ -1,12 +1,15 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed; runs that occur more than once have one
-first occurrence (smallest document id, then position), and sentences covered by any other
+A text is cut into sentences, and long sentences into parts after words that their own hash
+marks, so that a passage that begins and ends inside sentences still holds whole parts. Every run
+of several consecutive parts with enough words is hashed; runs that occur more than once have
+one first occurrence (smallest document id, then position), and parts covered by any other
 occurrence are removed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -16,23 +19,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import exchange
-from quillon.llm.suffix_dedup import _by_part, _mix, _part
-
-#: Sentences in a run, and the bytes a run must have for its repeats to count.
-RUN, LEAST_BYTES = 3, 40
-
-_PIECE = re.compile(rb"[^.!?\n]+[.!?]*|[.!?\n]+")
-_SPACE = b" \t\r\n\f\v"
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-
-
-def pieces(text: bytes) -> list[bytes]:
-    """A text in sentences, each with its marks at the end, and what stands between them; joined they are the text."""
-    return _PIECE.findall(text)
-
-
-def is_sentence(piece: bytes) -> bool:
-    return piece[0] not in b".!?\n" and bool(piece.strip(_SPACE))
+from quillon.llm.common import as_bytes
+from quillon.llm.suffix_dedup import _by_part, _mix, _part, _power
+
+#: Parts in a run, and the words it must have (half of a passage of 50): the shortest run that has both is looked at.
+RUN, LEAST_WORDS = 3, 25
+#: Bytes that count as a word where there is no white space for long.
+WORD_BYTES = 12
+#: A word ends its part if the first hexadecimal digit of its MD5 is smaller than this.
+MARKED_BELOW = 4
+
+_TOKEN = re.compile(rb"[ \t\r\f\v]*[^ \t\r\f\v\n.!?]+[.!?]*|[ \t\r\f\v]*[.!?\n]+|[ \t\r\f\v]+")
+_BLANK = b" \t\r\f\v"
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+_MOST_KNOWN = 200_000
+
+
+def _kind(word: bytes) -> int:
+    """0: no word, 1: a word inside a part, 2: a word that ends its part."""
+    if not word or word[0] in b".!?\n":
+        return 0
+    if word[-1] in b".!?":
+        return 2
+    return 2 if int(hashlib.md5(word).hexdigest()[0], 16) < MARKED_BELOW else 1
+
+
+def parts_of(text: bytes, known: dict[bytes, int]) -> tuple[list[bytes], list[tuple[int, int]], list[bytes]]:
+    """(tokens, token range of each part, words of each part joined by a space); the joined tokens are the text."""
+    tokens = _TOKEN.findall(text)
+    ranges, contents, own, start = [], [], [], 0
+    for k, t in enumerate(tokens):
+        word = t.lstrip(_BLANK)
+        kind = known.get(word)
+        if kind is None:
+            if len(known) > _MOST_KNOWN:
+                known.clear()
+            kind = known[word] = _kind(word)
+        if kind:
+            if not own:
+                start = k
+            own.append(word)
+        if kind != 1 and own:
+            ranges.append((start, k + 1 if kind else k))
+            contents.append(b" ".join(own))
+            own = []
+    if own:
+        ranges.append((start, len(tokens)))
+        contents.append(b" ".join(own))
+    return tokens, ranges, contents
 
 
 class _Runs:
@@ -41,30 +75,39 @@ class _Runs:
     def __init__(self, table: pa.Table, id_col: str, text_col: str, run: int, least: int):
         from xxhash import xxh3_64_intdigest
 
-        self.pieces, hashes, sizes, counts = [], [], [], []
+        self.texts, hashes, weights, counts, known = [], [], [], [], {}
         for t in table[text_col].to_pylist():
-            own = pieces(b"" if t is None else t.encode("utf-8", "surrogatepass"))
-            at = [k for k, p in enumerate(own) if is_sentence(p)]
-            bare = [own[k].strip(_SPACE) for k in at]
-            self.pieces.append((own, at))
-            hashes += [xxh3_64_intdigest(s) for s in bare]
-            sizes += map(len, bare)
-            counts.append(len(at))
+            tokens, ranges, contents = parts_of(as_bytes(t), known)
+            self.texts.append((tokens, ranges))
+            hashes += [xxh3_64_intdigest(c) for c in contents]
+            weights += [max(c.count(b" ") + 1, len(c) // WORD_BYTES) for c in contents]
+            counts.append(len(ranges))
         self.ids = np.array([exchange.NO_ID if i is None else i for i in table[id_col].to_pylist()], np.int64)
         self.counts = np.array(counts, np.int64)
-        h, size = np.array(hashes, np.uint64), np.array(sizes, np.int64)
-        starts = np.cumsum(self.counts) - self.counts
+        h, total = np.array(hashes, np.uint64), np.r_[0, np.cumsum(np.array(weights, np.int64))]
+        ends = np.cumsum(self.counts)
         doc = np.repeat(np.arange(len(counts)), self.counts)
-        place = np.arange(len(h)) - starts[doc] if len(h) else np.zeros(0, np.int64)
-        n = max(0, len(h) - run + 1)
-        key, other, total = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
-        for k in range(run):
-            key = _mix(key * _ODD[3] + h[k : k + n])
-            other = _mix(other * _ODD[4] + h[k : k + n] * _ODD[k % 3])
-            total += size[k : k + n]
-        self.at = np.flatnonzero((place[:n] + run <= self.counts[doc[:n]]) & (total >= least))
-        self.doc, self.place = doc[self.at], place[self.at]
-        key, other, own = key[self.at], other[self.at], self.ids[self.doc]
+        at = np.arange(len(h))
+        stop = np.maximum(np.searchsorted(total, total[:-1] + least, "left"), at + run)  # the run is at .. stop - 1
+        fits = stop <= ends[doc] if len(h) else np.zeros(0, bool)
+        # a text without any such run is one run as a whole
+        some = np.zeros(len(counts), bool)
+        some[doc[fits]] = True
+        whole = np.flatnonzero(~some & (self.counts > 0))
+        self.at = np.concatenate([at[fits], (ends - self.counts)[whole]])
+        self.stop = np.concatenate([stop[fits], ends[whole]])
+        by = np.argsort(self.at, kind="stable")
+        self.at, self.stop = self.at[by], self.stop[by]
+        self.doc = doc[self.at]
+        self.place = self.at - (ends - self.counts)[self.doc]
+        up, down = _power(len(h) + 1)
+        keys = []
+        for odd in _ODD:
+            sums = np.zeros(len(h) + 1, np.uint64)
+            np.cumsum(_mix(h * odd + odd) * up[: len(h)], out=sums[1:])
+            keys.append(_mix((sums[self.stop] - sums[self.at]) * down[self.at] + (self.stop - self.at).astype(np.uint64) * odd))
+        key, other = keys
+        own = self.ids[self.doc]
         order = np.lexsort((self.place, own, other, key))
         k, o = key[order], other[order]
         new = np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])] if len(k) else np.zeros(0, bool)
@@ -113,34 +156,44 @@ def _cut(id_col, text_col, run, least, columns):
             low[e], place[e], known[e] = i, p, True
         e = g.entry
         again = known[e] & ((g.ids[g.doc] != low[e]) | (g.place != place[e])) if len(e) else np.zeros(0, bool)
-        gone = np.zeros(int(g.counts.sum()) + run, bool)
-        for k in range(run):
-            gone[g.at[again] + k] = True
+        cover = np.zeros(int(g.counts.sum()) + 1, np.int64)
+        np.add.at(cover, g.at[again], 1)
+        np.add.at(cover, g.stop[again], -1)
+        gone = np.cumsum(cover) > 0
         texts, removed, at = [], [], 0
-        for (own, sentences), n in zip(g.pieces, g.counts.tolist()):
-            hit = np.flatnonzero(gone[at : at + n])
+        for (tokens, ranges), n, was in zip(g.texts, g.counts.tolist(), table[text_col].to_pylist()):
+            hit = np.flatnonzero(gone[at : at + n]).tolist()
             at += n
-            drop = {sentences[k] for k in hit.tolist()}
-            texts.append(b"".join(p for k, p in enumerate(own) if k not in drop).decode("utf-8", "surrogatepass"))
-            removed.append(len(drop))
-        was = table[text_col].to_pylist()
-        texts = [None if w is None else t for w, t in zip(was, texts)]
-        return pa.table([pa.array(texts, pa.string()) if c == text_col else table[c] for c in columns] + [pa.array(g.counts), pa.array(removed, pa.int64())], [*columns, "n_sentences", "n_removed"])
+            removed.append(len(hit))
+            if hit:
+                kept, to = [], 0
+                for k in hit:
+                    kept += tokens[to : ranges[k][0]]
+                    to = ranges[k][1]
+                was = b"".join(kept + tokens[to:]).decode("utf-8", "surrogatepass")
+            texts.append(was)
+        made = {text_col: pa.array(texts, pa.string()), "n_sentences": pa.array(g.counts), "n_removed": pa.array(removed, pa.int64())}
+        return pa.table([made[c] if c in made else table[c] for c in columns], columns)
 
     return work
 
 
-def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """All rows and columns, the text without the sentences of repeated runs, and ``n_sentences``, ``n_removed`` (both of the input).
+def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
+    """All rows and columns, the text without the parts of repeated runs, and ``n_sentences``, ``n_removed`` (parts of the input, and those removed).
 
-    Sentences end with ``.``, ``!``, ``?`` or a line break and are compared without the white
-    space around them. A run is ``run`` consecutive sentences of one text with ``least_bytes``
-    in all. Its first occurrence, by id and then position, stays; rows with one id are taken for
-    the same document, so their equal positions stay together. A null id counts as larger than
-    any other. Null texts stay null, texts with fewer sentences stay as they are.
+    Sentences end with ``.``, ``!``, ``?`` or a line break; a part also ends with each marked word
+    (about one in four). Parts are compared by their words. A run is the shortest stretch of
+    at least ``run`` parts of one text with at least ``least_words`` words in all, from any part on
+    (``WORD_BYTES`` bytes without white space count as a word); a text without such a stretch is one
+    run as a whole. The first occurrence, by id and then position, stays; rows with one id are taken
+    for the same document, so their equal positions stay together. A null id counts as larger than
+    any other. Null texts stay null, texts without words stay as they are. Columns of ``docs`` named as
+    the two counts are replaced by them.
     """
-    parts = exchange.ranges_for(docs, text_col)
+    columns = [*(c for c in docs.columns if c not in ("n_sentences", "n_removed")), "n_sentences", "n_removed"]
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns[:-2]])
+    ranges = exchange.ranges_for(docs, text_col)
     blocks = exchange.pack(docs, text_col)
-    told = exchange.answer(exchange.ask(blocks, _ask(id_col, text_col, run, least_bytes, parts)), _first)
+    told = exchange.answer(exchange.ask(blocks, _ask(id_col, text_col, run, least_words, ranges)), _first)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return exchange.meet(blocks, told, _cut(id_col, text_col, run, least_bytes, docs.columns), f"{kinds}, n_sentences long, n_removed long")
+    return exchange.meet(blocks, told, _cut(id_col, text_col, run, least_words, columns), f"{kinds}, n_sentences long, n_removed long")
