@@ -14,8 +14,10 @@ is nothing; numbers print as Java prints them.
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from json.encoder import encode_basestring as _quoted
 
 _GAP = re.compile(rb"[ \t\n\r,]*")
 _BLANK = re.compile(rb"[ \t\n\r]*")
@@ -28,20 +30,19 @@ _REAL = re.compile(rb"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\Z")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\(.)", re.S)
 # The short escapes of JSON.
 _SHORT = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
-_UNSAFE = re.compile(r'["\\\x00-\x1f]')
-_WRITTEN = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
 
-class Regex(str):
-    """A regular expression literal, with its slashes and flags."""
+# What strict JSON reads otherwise than the dialect: long whole numbers, exponents without a point, words for numbers, halves of pairs, NUL.
+_NOT_ALIKE = re.compile(r"[0-9]{19}|(?<![.0-9])[0-9]+[eE]|NaN|Infinity|\\u[dD]|\x00")
+_strict = json.loads
 
 
-class _Nothing:
-    def __repr__(self):
-        return "NOTHING"
+class Regex(str):
+    """A regular expression literal, with its slashes and flags."""
 
 
-NOTHING = _Nothing()
+#: No document. Python's own singleton, which stays one wherever functions of this module are sent to.
+NOTHING = ...
 
 
 def unescape(raw: bytes) -> str:
@@ -152,9 +153,14 @@ class _Reader:
 
 
 def parse(text: str | bytes | None):
-    """The tree of a text, or NOTHING."""
+    """The tree of a text, or NOTHING. Strict JSON that both readers read alike takes the fast one."""
     if text is None:
         return NOTHING
+    if isinstance(text, str) and not _NOT_ALIKE.search(text):
+        try:
+            return _strict(text)
+        except (ValueError, RecursionError):
+            pass
     return _Reader(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else bytes(text)).read()
 
 
@@ -178,23 +184,40 @@ def number_text(x: float) -> str:
     return f"{sign}{bare[0]}.{bare[1:] or '0'}E{-(len(rest) - len(bare) + 1)}"
 
 
-def quote(text: str) -> str:
-    return '"' + _UNSAFE.sub(lambda m: _WRITTEN.get(m[0]) or f"\\u{ord(m[0]):04x}", text) + '"'
-
-
 def _leaf(x, strict: bool) -> str:
-    if x is None:
-        return "null"
-    if isinstance(x, bool):
+    kind = type(x)
+    if kind is str:
+        return _quoted(x)
+    if kind is bool:
         return "true" if x else "false"
-    if isinstance(x, int):
+    if kind is int:
         return str(x)
-    if isinstance(x, float):
+    if x is None:
+        return "null"
+    if kind is float:
         t = number_text(x)
-        return quote("+Infinity" if t == "Infinity" else t) if t[-1] in "Ny" else t
-    if isinstance(x, Regex) and not strict:
-        return str(x)
-    return quote(x)
+        return _quoted("+Infinity" if t == "Infinity" else t) if t[-1] in "Ny" else t
+    return str(x) if isinstance(x, Regex) and not strict else _quoted(str(x))
+
+
+def _compact(x, strict: bool, put: Callable[[str], None]) -> None:
+    kind = type(x)
+    if kind is dict:
+        mark = "{"
+        for key, v in x.items():
+            put(f"{mark}{_quoted(key)}:")
+            _compact(v, strict, put)
+            mark = ","
+        put("{}" if mark == "{" else "}")
+    elif kind is list:
+        mark = "["
+        for v in x:
+            put(mark)
+            _compact(v, strict, put)
+            mark = ","
+        put("[]" if mark == "[" else "]")
+    else:
+        put(_leaf(x, strict))
 
 
 def dump(tree, pretty: bool = False, strict: bool = False) -> str | None:
@@ -202,6 +225,12 @@ def dump(tree, pretty: bool = False, strict: bool = False) -> str | None:
     if tree is NOTHING:
         return None
     out: list[str] = []
+    if not pretty:
+        try:
+            _compact(tree, strict, out.append)
+            return "".join(out)
+        except RecursionError:  # deep trees are written without recursion
+            out.clear()
     stack: list = [("value", tree, 0)]
     while stack:
         what, x, level = stack.pop()
@@ -214,7 +243,7 @@ def dump(tree, pretty: bool = False, strict: bool = False) -> str | None:
             line = "\n" + "    " * (level + 1) if pretty else ""
             todo: list = []
             for k, (key, v) in enumerate(items):
-                lead = ("," if k else "") + line + ((quote(key) + (": " if pretty else ":")) if key is not None else "")
+                lead = ("," if k else "") + line + ((_quoted(key) + (": " if pretty else ":")) if key is not None else "")
                 todo += [("text", lead, 0), ("value", v, level + 1)]
             todo.append(("text", ("\n" + "    " * level if pretty else "") + closed, 0))
             stack.extend(reversed(todo))
@@ -227,16 +256,12 @@ def dump(tree, pretty: bool = False, strict: bool = False) -> str | None:
     return "".join(out)
 
 
+_KINDS = {type(None): "null", bool: "boolean", int: "int", float: "double", Regex: "regex", str: "string", list: "array", dict: "dictionary", type(NOTHING): None}
+
+
 def kind(x) -> str | None:
     """Type tag: null, boolean, int, double, string, regex, array or dictionary."""
-    if x is NOTHING:
-        return None
-    if x is None:
-        return "null"
-    for t, name in ((bool, "boolean"), (int, "int"), (float, "double"), (Regex, "regex"), (str, "string"), (list, "array"), (dict, "dictionary")):
-        if isinstance(x, t):
-            return name
-    raise TypeError(f"no document value: {type(x)}")
+    return _KINDS[type(x)]
 
 
 def shortlex(text: str) -> tuple[int, bytes]:
@@ -273,7 +298,39 @@ def sort_all(tree):
 
 def same(a, b) -> bool:
     """Equal in type, order and value: 1 is not 1.0, and objects with other key orders differ."""
-    return kind(a) == kind(b) and dump(a) == dump(b)
+    stack = [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        if type(x) is not type(y):
+            return False
+        if isinstance(x, dict):
+            if list(x) != list(y):
+                return False
+            stack.extend(zip(x.values(), y.values()))
+        elif isinstance(x, list):
+            if len(x) != len(y):
+                return False
+            stack.extend(zip(x, y))
+        elif x != y:
+            return False
+    return True
+
+
+def reify(tree, null=None):
+    """Plain Python values: regular expressions as text, ``null`` in the place of each null."""
+    holder = [tree]
+    stack = [(holder, 0)]
+    while stack:
+        parent, at = stack.pop()
+        x = parent[at]
+        if isinstance(x, (list, dict)):
+            parent[at] = x = x.copy()
+            stack.extend((x, k) for k in (x if isinstance(x, dict) else range(len(x))))
+        elif x is None or x is NOTHING:
+            parent[at] = null
+        elif isinstance(x, Regex):
+            parent[at] = str(x)
+    return holder[0]
 
 
 def nodes(tree) -> Iterator[tuple]:
@@ -294,10 +351,19 @@ def nodes(tree) -> Iterator[tuple]:
             stack.extend(reversed([((*path, "[]"), depth + 1, i, None, v, (*place, str(i))) for i, v in enumerate(x)]))
 
 
-def from_python(value):
-    """A tree from Python values: numbers, text, None, sequences, mappings (keys that are no text are left out), dates and dataclasses.
+_CONVERSIONS: dict[type, Callable] = {}
+
+
+def register_conversion(kind: type, convert: Callable) -> None:
+    """Values of ``kind`` (and its subclasses) become what ``convert`` makes of them, which is converted in turn."""
+    _CONVERSIONS[kind] = convert
 
-    Values of other kinds become null.
+
+def from_python(value, inside: bool = False):
+    """A tree from Python values: numbers, text, None, sequences, mappings, dates, dataclasses, and kinds with a conversion.
+
+    A kind has one if it is registered or has a method ``to_document``. Keys that are no text are
+    left out. Other kinds become null inside a container and raise on their own.
     """
     import dataclasses
     import datetime
@@ -305,6 +371,12 @@ def from_python(value):
 
     if value is None or isinstance(value, (bool, Regex)):
         return value
+    if type(value) not in (str, int, float, list, dict):
+        for kind in type(value).__mro__:
+            if kind in _CONVERSIONS:
+                return from_python(_CONVERSIONS[kind](value), inside)
+        if hasattr(value, "to_document"):
+            return from_python(value.to_document(), inside)
     if isinstance(value, str):
         return str(value)
     if isinstance(value, int):
@@ -317,9 +389,11 @@ def from_python(value):
     if isinstance(value, bytes):
         return value.decode("utf-8", "replace")
     if dataclasses.is_dataclass(value) and not isinstance(value, type):
-        return {f.name: from_python(getattr(value, f.name)) for f in dataclasses.fields(value) if getattr(value, f.name) is not None}
+        return {f.name: from_python(getattr(value, f.name), True) for f in dataclasses.fields(value) if getattr(value, f.name) is not None}
     if isinstance(value, dict):
-        return {k: from_python(v) for k, v in value.items() if isinstance(k, str)}
+        return {k: from_python(v, True) for k, v in value.items() if isinstance(k, str)}
     if isinstance(value, (list, tuple)):
-        return [from_python(v) for v in value]
-    return None
+        return [from_python(v, True) for v in value]
+    if inside:
+        return None
+    raise TypeError(f"no document can be made of {type(value)}")

@@ -12,8 +12,12 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, Long
 _SPARK = {"boolean": BooleanType(), "int64": LongType(), "double": DoubleType(), "string": StringType(), "json": StringType()}
 
 
+#: Classes that may stand inside each other without an optional field or a list between them.
+MAX_DEPTH = 32
+
+
 class SchemaError(TypeError):
-    """A field has no column type."""
+    """A field has no column type, or classes nest too deeply."""
 
 
 @dataclasses.dataclass(frozen=True)
@@ -52,6 +56,46 @@ def leaves(fields, path: tuple = (), deep: int = 0, repeated: int = 0) -> list[t
     return found
 
 
+def annotate(fields) -> list[tuple]:
+    """(leaf number, path, max definition level, max repetition level, kind, nullable) of each leaf, in order."""
+    def kinds(of):
+        for f in of:
+            if f.kind in ("group", "list"):
+                yield from kinds(f.children)
+            else:
+                yield f.kind, f.nullable
+
+    return [(i, *leaf, *k) for i, (leaf, k) in enumerate(zip(leaves(fields), kinds(fields)))]
+
+
+def describe(fields, deep: int = 0) -> list[str]:
+    """A line for each node, children after their parent."""
+    out = []
+    for f in fields:
+        out.append("  " * deep + f"{f.name}: {f.kind}{' optional' if f.nullable else ''}")
+        out += describe(f.children, deep + 1)
+    return out
+
+
+def shape(cls) -> str:
+    """record, array or scalar: how values of a class stand in a document."""
+    hint, _ = _plain(cls)
+    if dataclasses.is_dataclass(hint):
+        return "record"
+    return "array" if typing.get_origin(hint) in (list, tuple) or hint in (list, tuple) else "scalar"
+
+
+def _check_depth(cls, deep: int = 0) -> None:
+    """Classes that need one of themselves, or more than MAX_DEPTH of others, have no values."""
+    if deep > MAX_DEPTH:
+        raise SchemaError(f"too deep: more than {MAX_DEPTH} classes need each other")
+    hints = typing.get_type_hints(cls)
+    for f in dataclasses.fields(cls):
+        hint, optional = _plain(hints[f.name])
+        if not optional and dataclasses.is_dataclass(hint):
+            _check_depth(hint, deep + 1)
+
+
 def _plain(hint) -> tuple[object, bool]:
     if typing.get_origin(hint) in (typing.Union, types.UnionType):
         rest = [a for a in typing.get_args(hint) if a is not type(None)]
@@ -69,6 +113,7 @@ def flat_fields(cls, scalar_name: str = "value") -> list[Field]:
     """One column for each field, in order; what is no bool, int, float or str becomes JSON text."""
     if not dataclasses.is_dataclass(cls):
         return [Field(scalar_name, _leaf(cls, scalar_name))]
+    _check_depth(cls)
     hints = typing.get_type_hints(cls)
     out = []
     for f in dataclasses.fields(cls):

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillon.functions import dialect
 from quillon.functions.dialect import NOTHING
-from quillon.functions.schemas import Field, to_struct
+from quillon.functions.schemas import Field, leaves, to_struct
 
 MAX_FIELDS = 20_000
 BATCH_ROWS = 2_000
@@ -55,7 +55,7 @@ def _paths(record):
             stack.extend(reversed([((*path, "[]"), None, v) for v in x]))
 
 
-def _summaries(df: DataFrame, doc: str, nested: bool, max_fields: int) -> dict[tuple, object]:
+def _summaries(df: DataFrame, doc: str, nested: bool, max_fields: int, ordinal: str | None) -> dict[tuple, object]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
 
@@ -77,13 +77,16 @@ def _summaries(df: DataFrame, doc: str, nested: bool, max_fields: int) -> dict[t
                             found[0] |= mask
                             found[1] += present
                             found[2] += 1
+                            if at is not None and (found[3] is None or at < found[3]):
+                                found[3], found[4] = at, place
                         place += 1
                 if len(held) > MOST_HELD:
                     yield out()
                     held.clear()
         yield out()
 
-    seen = df.select(F.monotonically_increasing_id().alias("at"), F.col(doc).alias("text")).mapInArrow(run, "path array<string>, mask int, present long, rows long, at_row long, at_key long")
+    place = F.col(ordinal).cast("long") if ordinal else F.monotonically_increasing_id()
+    seen = df.select(place.alias("at"), F.col(doc).alias("text")).mapInArrow(run, "path array<string>, mask int, present long, rows long, at_row long, at_key long")
     plan = seen.groupBy("path").agg(F.bit_or("mask").alias("mask"), F.sum("present").alias("present"), F.sum("rows").alias("rows"), F.min(F.struct("at_row", "at_key")).alias("first"))
     found = plan.limit(max_fields + 1).collect()  # one row more than is allowed shows that there are too many
     if len(found) > max_fields:
@@ -95,9 +98,12 @@ def _scalar(mask: int) -> str:
     return {0: "string", 1: "boolean", 2: "int64", 4: "double", 6: "double", 8: "string"}.get(mask, "json")
 
 
-def infer_flat(df: DataFrame, doc: str, scalar_name: str = "value", max_fields: int = MAX_FIELDS) -> list[Field]:
-    """Columns in the order of first appearance. Records that are all objects give one column a key, others one column."""
-    found = _summaries(df, doc, False, max_fields)
+def infer_flat(df: DataFrame, doc: str, scalar_name: str = "value", max_fields: int = MAX_FIELDS, ordinal: str | None = None) -> list[Field]:
+    """Columns in the order of first appearance. Records that are all objects give one column a key, others one column.
+
+    The order of rows is that of the column ``ordinal``; without one it is that of partitions, which is no contract.
+    """
+    found = _summaries(df, doc, False, max_fields, ordinal)
     whole = found.get(("value",))
     if whole is None:
         return [Field(scalar_name, "string", False)]
@@ -106,9 +112,9 @@ def infer_flat(df: DataFrame, doc: str, scalar_name: str = "value", max_fields:
     return [Field(p[1], _scalar(r.mask), r.present != whole.rows) for p, r in found.items() if p[0] == "key"]
 
 
-def infer_nested(df: DataFrame, doc: str, max_fields: int = MAX_FIELDS) -> list[Field]:
-    """Objects become groups and arrays lists; null and ``{}`` count as missing; mixed kinds become JSON text."""
-    found = _summaries(df, doc, True, max_fields)
+def infer_nested(df: DataFrame, doc: str, max_fields: int = MAX_FIELDS, ordinal: str | None = None) -> list[Field]:
+    """Objects become groups and arrays lists; null and ``{}`` count as missing; mixed kinds become JSON text. ``ordinal`` as in ``infer_flat``."""
+    found = _summaries(df, doc, True, max_fields, ordinal)
     below: dict[tuple, list[tuple]] = {}
     for path in found:
         if path:
@@ -194,6 +200,63 @@ def shred(df: DataFrame, doc: str, fields: list[Field], nested: bool = False, ke
     return df.select(F.col(doc).alias("__doc"), *keep).mapInArrow(run, schema)
 
 
-def to_table(df: DataFrame, doc: str, nested: bool = False, keep: list[str] | None = None) -> DataFrame:
+def to_table(df: DataFrame, doc: str, nested: bool = False, keep: list[str] | None = None, ordinal: str | None = None) -> DataFrame:
     """Infer and shred: two passes over the documents."""
-    return shred(df, doc, infer_nested(df, doc) if nested else infer_flat(df, doc), nested, keep)
+    return shred(df, doc, (infer_nested if nested else infer_flat)(df, doc, ordinal=ordinal), nested, keep)
+
+
+def _stripes(x, f: Field, rep: int, deep: int, repeated: int, path: tuple):
+    """(leaf path, repetition level, definition level, value) of each slot under a node."""
+    missing = x is NOTHING or x is None or (isinstance(x, dict) and not x)
+    here = (*path, f.name)
+    if f.kind == "list":
+        inner = (*here, "list")
+        if missing or not isinstance(x, list) or not x:
+            level = deep if missing or not isinstance(x, list) else deep + f.nullable
+            yield from ((p, rep, level, None) for p in _leaf_paths(f.children, inner))
+            return
+        for i, v in enumerate(x):
+            yield from _stripes(v, f.children[0], repeated + 1 if i else rep, deep + f.nullable + 1, repeated + 1, inner)
+    elif f.kind == "group":
+        if missing:
+            yield from ((p, rep, deep, None) for p in _leaf_paths(f.children, here))
+            return
+        for c in f.children:
+            yield from _stripes(x.get(c.name, NOTHING) if isinstance(x, dict) else NOTHING, c, rep, deep + f.nullable, repeated, here)
+    elif missing:
+        yield ".".join(here), rep, deep, None
+    else:
+        yield ".".join(here), rep, deep + f.nullable, dialect.dump(x)
+
+
+def _leaf_paths(fields, path: tuple) -> list[str]:
+    return [p for p, _, _ in leaves(fields, path)]
+
+
+def stripe(df: DataFrame, doc: str, fields: list[Field], keep: list[str] | None = None) -> DataFrame:
+    """The slots that a nested table stores: (ord, leaf, rep, def, value) for each leaf of each record, ``ord`` counting the slots of a document.
+
+    For inspection: the Parquet writer makes the same levels itself.
+    """
+    keep = keep or []
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, origin = [], []
+            for i, text in enumerate(b.column(0).to_pylist()):
+                slots = [s for record in _records(text) for f in fields for s in _stripes(record.get(f.name, NOTHING) if isinstance(record, dict) else NOTHING, f, 0, 0, 0, ())]
+                rows += [(n, *s) for n, s in enumerate(slots)]
+                origin += [i] * len(slots)
+            kept = [b.column(j + 1).take(pa.array(origin, pa.int64())) for j in range(len(keep))]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays(kept + [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], [*keep, "ord", "leaf", "rep", "def", "value"])
+
+    return df.select(F.col(doc).alias("__doc"), *keep).mapInArrow(run, f"{kinds}ord long, leaf string, rep long, def long, value string")
+
+
+def describe(table: DataFrame, fields: list[Field]) -> DataFrame:
+    """(ord, name, kind, nullable, present, rows) of each column: its type and how many rows hold a value; one pass."""
+    found = table.agg(F.count(F.lit(1)).alias("rows"), *[F.count(f"`{f.name}`").alias(f"p{i}") for i, f in enumerate(fields)])
+    lines = F.array(*[F.struct(F.lit(i).cast("long").alias("ord"), F.lit(f.name).alias("name"), F.lit(f.kind).alias("kind"), F.lit(f.nullable).alias("nullable"), F.col(f"p{i}").alias("present"), F.col("rows")) for i, f in enumerate(fields)])
+    return found.select(F.inline(lines))

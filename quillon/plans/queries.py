@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import documents as D
-from quillon.functions.schemas import Field
 from quillon.operators import tables
+from quillon.plans import catalogue
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,86 +36,48 @@ def doc_parse_lenient(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", D.parse(broken).alias("doc"))
 
 
-def doc_kind(spark, sf_dir):
-    d = _events(spark, sf_dir).select("event_id", D.path("props", "k").alias("el"))
-    return d.select("event_id", D.kind("el").alias("kind"), D.int_value("el").alias("k"), D.double_value("el").alias("no_double"), D.string_value("el").alias("no_string"))
-
-
 def doc_extract(spark, sf_dir):
     d = _orders(spark, sf_dir).select(D.extract("doc", key=("int", "key"), status=("string", "status"), price=("double", "price"), cust=("double", "cust"), gone=("boolean", "gone"), none=("int", "gone")).alias("x"))
     return d.select("x.*")
 
 
-def doc_contains(spark, sf_dir):
-    d = _events(spark, sf_dir).select("event_id", D.parse("props").alias("d"))
-    return d.select("event_id", D.contains_key("d", "k").alias("has_k"), D.contains_all("d", ["k", "zz"]).alias("has_both"), D.count("d").alias("n"))
-
-
-def doc_unnest(spark, sf_dir):
-    d = _talks(spark, sf_dir).select("conv_id", F.explode(D.children("doc")).alias("c"))
-    return d.select("conv_id", "c.ord", "c.kind")
-
-
 def doc_edit(spark, sf_dir):
     edited = D.edit("props", D.set_key("type", F.to_json(F.struct("event_type"))), D.rename("k", "kk"), D.set_key("none", None), D.clean())
     return _events(spark, sf_dir).select("event_id", edited.alias("doc"))
 
 
-def doc_array_edit(spark, sf_dir):
-    arr = F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(",2]"))
-    return _events(spark, sf_dir).select("event_id", D.edit(arr, D.insert(2, 9)).alias("inserted"), D.edit(arr, D.set_at(3, "x"), D.append(True)).alias("was_set"), D.edit(arr, D.remove_at(0)).alias("removed"))
-
-
 def doc_sort_keys(spark, sf_dir):
-    return _orders(spark, sf_dir).select("o_orderkey", D.sort_keys(D.edit("doc", D.remove_key("price"))).alias("doc"))
-
-
-def doc_sort_all(spark, sf_dir):
-    arr = F.concat(F.lit('{"b":[333,1,22],"a":'), F.col("event_id").cast("string"), F.lit("}"))
-    return _events(spark, sf_dir).select("event_id", D.sort_all(arr).alias("doc"))
-
-
-def doc_pretty(spark, sf_dir):
-    return _events(spark, sf_dir).select("event_id", D.pretty("props").alias("doc"))
+    """A key removed, one nested object added, keys in order: one pass."""
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    doc = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("key")))
+    chain = (D.remove_key("price"), D.set_key("by", {"zone": 1, "a": [2, 1]}), D.sorted_keys())
+    return t.select("o_orderkey", D.edit(doc, *chain).alias("doc"))
 
 
 def doc_infer_flat(spark, sf_dir):
-    found = tables.infer_flat(_orders(spark, sf_dir), "doc")
+    found = tables.infer_flat(_orders(spark, sf_dir), "doc", ordinal="o_orderkey")
     return spark.createDataFrame([(i, f.name, f.kind, f.nullable) for i, f in enumerate(found)], "ord long, name string, kind string, nullable boolean")
 
 
 def doc_shred_flat(spark, sf_dir):
-    return tables.to_table(_orders(spark, sf_dir), "doc")
+    return tables.to_table(_orders(spark, sf_dir), "doc", ordinal="o_orderkey")
 
 
 def doc_shred_nested(spark, sf_dir):
-    t = tables.to_table(_talks(spark, sf_dir), "doc", nested=True, keep=["conv_id"])
+    t = tables.to_table(_talks(spark, sf_dir), "doc", nested=True, keep=["conv_id"], ordinal="conv_id")
     return t.select("conv_id", "turn", "role", "text")
 
 
-def doc_shred_mismatch(spark, sf_dir):
-    """A given schema that doesn't fit: zeros for other kinds, null for missing keys."""
-    fields = [Field("key", "string"), Field("status", "int64"), Field("price", "json"), Field("gone", "double", True)]
-    return tables.shred(_orders(spark, sf_dir), "doc", fields, keep=["o_orderkey"]).drop("price")
-
-
-QUERIES = {f.__name__: f for f in (doc_parse_events, doc_parse_lenient, doc_kind, doc_extract, doc_contains, doc_unnest, doc_edit, doc_array_edit, doc_sort_keys, doc_sort_all, doc_pretty, doc_infer_flat, doc_shred_flat, doc_shred_nested, doc_shred_mismatch)}
+QUERIES = {f.__name__: f for f in (doc_parse_events, doc_parse_lenient, doc_extract, doc_edit, doc_sort_keys, doc_infer_flat, doc_shred_flat, doc_shred_nested)} | catalogue.QUERIES
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
-ORACLE_SQL = {
+ORACLE_SQL = catalogue.ORACLE_SQL | {
+    "doc_sort_keys": "SELECT o_orderkey, '{\"by\":{\"a\":[2,1],\"zone\":1},\"key\":' || o_orderkey || ',\"cust\":' || o_custkey || ',\"status\":\"' || o_orderstatus || '\"}' AS doc FROM orders",
     "doc_parse_events": f"SELECT event_id, '{{\"k\":' || {_K} || '}}' AS doc FROM events",
     "doc_parse_lenient": f"SELECT event_id, '{{\"k\":' || {_K} || '}}' AS doc FROM events",
-    "doc_kind": f"SELECT event_id, 'int' AS kind, {_K} AS k, CAST(NULL AS DOUBLE) AS no_double, CAST(NULL AS VARCHAR) AS no_string FROM events",
     "doc_extract": "SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS price, CAST(o_custkey AS DOUBLE) AS cust, false AS gone, CAST(NULL AS BIGINT) AS \"none\" FROM orders",
-    "doc_contains": "SELECT event_id, true AS has_k, false AS has_both, CAST(1 AS BIGINT) AS n FROM events",
-    "doc_unnest": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS ord, 'dictionary' AS kind FROM conversations",
     "doc_edit": f"SELECT event_id, '{{\"kk\":' || {_K} || ',\"type\":{{\"event_type\":\"' || event_type || '\"}}}}' AS doc FROM events",
-    "doc_array_edit": "SELECT event_id, '[' || event_id || ',2,9,null]' AS inserted, '[' || event_id || ',2,null,\"x\",true]' AS was_set, '[2]' AS removed FROM events",
-    "doc_sort_keys": "SELECT o_orderkey, '{\"key\":' || o_orderkey || ',\"cust\":' || o_custkey || ',\"status\":\"' || o_orderstatus || '\"}' AS doc FROM orders",
-    "doc_sort_all": "SELECT event_id, '{\"a\":' || event_id || ',\"b\":[1,22,333]}' AS doc FROM events",
-    "doc_pretty": f"SELECT event_id, '{{' || chr(10) || '    \"k\": ' || {_K} || chr(10) || '}}' AS doc FROM events",
     "doc_infer_flat": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'key', 'int64', false), (1, 'cust', 'int64', false), (2, 'status', 'string', false), (3, 'price', 'double', false)) t(ord, name, kind, nullable)",
     "doc_shred_flat": "SELECT o_orderkey AS key, o_custkey AS cust, o_orderstatus AS status, o_totalprice AS price FROM orders",
     "doc_shred_nested": "SELECT conv_id, turn, role, text FROM conversations",
-    "doc_shred_mismatch": "SELECT o_orderkey, '' AS key, CAST(0 AS BIGINT) AS status, CAST(NULL AS DOUBLE) AS gone FROM orders",
 }

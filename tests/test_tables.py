@@ -1,14 +1,14 @@
 import dataclasses
 import json
-import typing
 
 import pyarrow.parquet as pq
 import pytest
 
 from quillon.functions import documents as D
-from quillon.functions.schemas import Field, SchemaError, flat_fields, leaves, nested_fields
+from quillon.functions.schemas import Field, SchemaError, describe, flat_fields, leaves, nested_fields, shape
 from quillon.operators import tables as T
-from quillon.sources.documents import read_documents, write_parquet
+from quillon.sources.documents import read_documents, stored_bytes, write_parquet
+from quillon.sources.storage import shared_dir
 from quillon.streaming.incremental import stream_to_parquet
 
 
@@ -17,16 +17,16 @@ def docs(spark, *texts):
 
 
 @pytest.mark.parametrize("text,want,rows", [
-    ('[{"a":1,"b":"x"},{"a":2,"b":"y"}]', [("a", "int64", False), ("b", "string", False)], [(1, "x"), (2, "y")]),
-    ('[{"a":1,"b":7},{"a":2},{"a":3,"b":null}]', [("a", "int64", False), ("b", "int64", True)], [(1, 7), (2, None), (3, None)]),
-    ('[{"n":1},{"n":2.5}]', [("n", "double", False)], [(1.0,), (2.5,)]),
-    ('[{"v":1},{"v":"hello"},{"v":true}]', [("v", "json", False)], [("1",), ('"hello"',), ("true",)]),
-    ('[{"o":{"k":1}},{"o":{}}]', [("o", "json", False)], [('{"k":1}',), ("{}",)]),
-    ("[1,2,3]", [("value", "int64", False)], [(1,), (2,), (3,)]),
-    ('{"a":1,"b":2}', [("a", "int64", False), ("b", "int64", False)], [(1, 2)]),
-    ("42", [("value", "int64", False)], [(42,)]),
+    ('[{"port":80,"host":"ox"},{"port":81,"host":"elk"}]', [("port", "int64", False), ("host", "string", False)], [(80, "ox"), (81, "elk")]),
+    ('[{"port":80,"load":4},{"port":81},{"load":null,"port":82}]', [("port", "int64", False), ("load", "int64", True)], [(80, 4), (81, None), (82, None)]),
+    ('[{"load":0.25},{"load":3}]', [("load", "double", False)], [(0.25,), (3.0,)]),
+    ('[{"tag":false},{"tag":"ox"},{"tag":6}]', [("tag", "json", False)], [("false",), ('"ox"',), ("6",)]),
+    ('[{"disk":{}},{"disk":{"gb":9}}]', [("disk", "json", False)], [("{}",), ('{"gb":9}',)]),
+    ("[7,8]", [("value", "int64", False)], [(7,), (8,)]),
+    ('{"host":"ox","up":true}', [("host", "string", False), ("up", "boolean", False)], [("ox", True)]),
+    ('"ox"', [("value", "string", False)], [("ox",)]),
     ("[]", [("value", "string", False)], []),
-    ('[{"a":1},5]', [("value", "json", False)], [('{"a":1}',), ("5",)]),
+    ('["ox",{"port":80}]', [("value", "json", False)], [('"ox"',), ('{"port":80}',)]),
 ])
 def test_flat(spark, text, want, rows):
     df = docs(spark, text)
@@ -35,51 +35,58 @@ def test_flat(spark, text, want, rows):
     assert [tuple(r) for r in T.shred(df, "doc", found).collect()] == rows
 
 
-def test_order_is_of_first_appearance_over_rows(spark):
-    df = docs(spark, '{"z":1}', None, "junk", '{"b":1,"z":2}', '{"a":1}').repartition(3, "id").sort("id")
-    assert [f.name for f in T.infer_flat(df, "doc")] == ["z", "b", "a"]
+def test_order_is_of_first_appearance_by_the_ordinal(spark):
+    df = docs(spark, '{"zinc":1}', None, "~~", '{"boron":1,"zinc":2}', '{"argon":1}')
+    shuffled = df.repartition(3, "doc").sort(df.id.desc())
+    assert [f.name for f in T.infer_flat(shuffled, "doc", ordinal="id")] == ["zinc", "boron", "argon"]
+    assert [f.name for f in T.infer_nested(shuffled, "doc", ordinal="id")] == ["zinc", "boron", "argon"]
 
 
 def test_nested(spark):
-    df = docs(spark, '[{"name":"p","bill":{},"items":[{"id":"1","price":2},{"price":2.5,"tags":["x"]}],"mixed":1},{"name":"q","tip":"3","items":[],"mixed":[2]}]')
+    df = docs(spark, '[{"host":"ox","disk":{},"ports":[{"no":80},{"no":80.5,"open":["tcp"]}],"odd":"x"},{"host":"elk","note":"3","ports":[],"odd":{"a":1}}]')
     found = T.infer_nested(df, "doc")
-    assert [(f.name, f.kind, f.nullable) for f in found] == [("name", "string", False), ("bill", "string", True), ("items", "list", False), ("mixed", "json", False), ("tip", "string", True)]
-    element = found[2].children[0]
-    assert [(f.name, f.kind, f.nullable) for f in element.children] == [("id", "string", True), ("price", "double", False), ("tags", "list", True)]
+    assert describe(found) == ["host: string", "disk: string optional", "ports: list", "  element: group optional", "    no: double", "    open: list optional", "      element: string optional", "odd: json", "note: string optional"]
     rows = T.shred(df, "doc", found, nested=True).collect()
-    assert rows[0]["items"][1].asDict(True) == {"id": None, "price": 2.5, "tags": ["x"]}
-    assert rows[1]["items"] == [] and rows[0]["bill"] is None and rows[1]["mixed"] == "[2]"
+    assert rows[0]["ports"][1].asDict(True) == {"no": 80.5, "open": ["tcp"]} and rows[0]["ports"][0]["no"] == 80.0
+    assert rows[1]["ports"] == [] and rows[0]["disk"] is None and rows[1]["odd"] == '{"a":1}'
 
 
 def test_levels():
-    tags = Field("tags", "list", True, (Field("element", "string", True),))
-    assert leaves([Field("a", "int64"), tags]) == [("a", 0, 0), ("tags.list.element", 3, 1)]
-    addr = Field("addr", "group", True, (Field("street", "string", True), Field("zips", "list", True, (Field("element", "int64", True),))))
-    assert leaves([addr]) == [("addr.street", 2, 0), ("addr.zips.list.element", 4, 1)]
+    open_ = Field("open", "list", True, (Field("element", "string", True),))
+    assert leaves([Field("no", "int64"), open_]) == [("no", 0, 0), ("open.list.element", 3, 1)]
+    disk = Field("disk", "group", True, (Field("make", "string", True), Field("sizes", "list", False, (Field("element", "int64", True),))))
+    assert leaves([disk]) == [("disk.make", 2, 0), ("disk.sizes.list.element", 3, 1)]
 
 
 @dataclasses.dataclass
-class Person:
-    name: str
-    age: int
-    occupation: str | None
-    children: list["Person"]
+class Server:
+    host: str
+    port: int
+    note: str | None
+    backups: list["Server"]
+
+
+@dataclasses.dataclass
+class Ring:
+    next: "Ring"
 
 
 def test_class_schemas():
-    assert [(f.name, f.kind, f.nullable) for f in flat_fields(Person)] == [("name", "string", False), ("age", "int64", False), ("occupation", "string", True), ("children", "json", False)]
-    assert flat_fields(int) == [Field("value", "int64")]
-    one = nested_fields(Person, 2)[3]
+    assert describe(flat_fields(Server)) == ["host: string", "port: int64", "note: string optional", "backups: json"]
+    assert flat_fields(bool) == [Field("value", "boolean")]
+    one = nested_fields(Server, 2)[3]
     two = one.children[0].children[3]
-    assert one.kind == two.kind == "list" and [f.name for f in two.children[0].children] == ["name", "age", "occupation"]
+    assert one.kind == two.kind == "list" and [f.name for f in two.children[0].children] == ["host", "port", "note"]
     with pytest.raises(SchemaError):
         nested_fields(int)
-    assert typing.get_type_hints(Person)
+    with pytest.raises(SchemaError, match="too deep"):
+        flat_fields(Ring)
+    assert [shape(x) for x in (Server, list[Server], str, Server | None)] == ["record", "array", "scalar", "record"]
 
 
 def test_mismatch_gives_zeros_and_empty_schema_raises(spark):
-    df = docs(spark, '{"a":"x","b":5,"c":1.5,"d":null}')
-    fields = [Field("a", "int64"), Field("b", "boolean"), Field("c", "int64"), Field("d", "double"), Field("e", "string")]
+    df = docs(spark, '{"port":"x","up":3,"load":0.5,"host":null}')
+    fields = [Field("port", "int64"), Field("up", "boolean"), Field("load", "int64"), Field("host", "string"), Field("gone", "double")]
     assert tuple(T.shred(df, "doc", fields).first()) == (0, True, 0, None, None)
     with pytest.raises(ValueError):
         T.shred(df, "doc", [])
@@ -91,40 +98,49 @@ def test_too_many_fields(spark):
 
 
 def test_accessors_never_coerce(spark):
-    df = docs(spark, '{"i":1,"d":1.5,"s":"1","b":true,"n":null,"r":/x/i,"a":[1,{"k":2}]}')
-    x = df.select(D.extract("doc", i=("int", "i"), wide=("double", "i"), si=("int", "s"), ds=("string", "d"), r=("string", "r"), gone=("boolean", "gone"), sb=("boolean", "s"), k=("int", "a", 1, "k"), out=("int", "a", 9)).alias("x")).first().x
-    assert tuple(x) == (1, 1.0, None, None, "/x/i", False, None, 2, None)
-    kinds = df.select(F_kinds()).first()
-    assert list(kinds) == ["int", "double", "string", "boolean", "null", "regex", "array", None]
-
+    df = docs(spark, '{"port":8,"load":0.5,"text":"8","up":false,"none":null,"rule":/q/m,"list":[8,{"no":9}]}')
+    x = df.select(D.extract("doc", i=("int", "port"), wide=("double", "port"), si=("int", "text"), ds=("string", "load"), r=("string", "rule"), gone=("boolean", "gone"), sb=("boolean", "text"), k=("int", "list", 1, "no"), out=("int", "list", 7), place=("int", 0), deep=("int", "list", 1, 0)).alias("x")).first().x
+    assert tuple(x) == (8, 8.0, None, None, "/q/m", False, None, 9, None, 8, 9)
 
-def F_kinds():
-    return [D.kind(D.path("doc", k)).alias(k) for k in ("i", "d", "s", "b", "n", "r", "a", "gone")]
 
-
-def test_native_accessors(spark):
-    df = docs(spark, '{"b":1,"a":"x"}', '"\\u00e9\\n"', "[1,2,3]", "7", None)
-    got = df.select(D.keys("doc").alias("k"), D.count("doc").alias("n"), D.contains_all("doc", ["a", "b"]).alias("c")).collect()
-    assert [tuple(r) for r in got] == [(["b", "a"], 2, True), (None, 3, False), (None, 3, False), (None, 0, False), (None, None, False)]
-
-
-def test_edits_and_walks(spark):
-    df = docs(spark, '{"a":1,"b":null,"c":[2],"d":{"e":3}}')
-    got = df.select(D.edit("doc", D.clean(), D.rename("a", "z"), D.remove_key("d"), D.set_key("new", {"t": [1.5]})).alias("e"), D.walking("doc").alias("w"), D.values("doc").alias("v"), D.nodes("doc").alias("n")).first()
-    assert got.e == '{"z":1,"c":[2],"new":{"t":[1.5]}}'
-    assert [(c.key, c.kind) for c in got.w] == [("c", "array"), ("d", "dictionary")]
-    assert got.v == '[1,null,[2],{"e":3}]'
-    assert [c.depth for c in got.n] == [0, 1, 1, 1, 2, 1, 2]
+def test_null_documents(spark):
+    df = docs(spark, None, "~")
+    got = df.select(D.parse("doc").alias("p"), D.kind(D.parse("doc")).alias("k"), D.same("doc", "doc").alias("s"), D.edit("doc", D.append(1)).alias("e"), D.contains_all(D.parse("doc"), []).alias("c"), D.count(D.parse("doc")).alias("n")).collect()
+    assert [tuple(r) for r in got] == [(None, None, None, None, False, None)] * 2
 
 
 def test_write_groups_and_stream(spark, tmp_path):
-    df = docs(spark, json.dumps([{"a": i, "b": None if i % 4 == 0 else str(i)} for i in range(250)])).coalesce(1)
-    write_parquet(T.to_table(df, "doc"), str(tmp_path / "t"), rows_per_group=100)
+    df = docs(spark, json.dumps([{"no": i, "host": None if i % 4 == 0 else str(i)} for i in range(250)])).coalesce(1)
+    size = write_parquet(T.to_table(df, "doc"), str(tmp_path / "t"), rows_per_group=100)
+    assert size == stored_bytes(spark, str(tmp_path / "t")) > 0
     (file,) = (tmp_path / "t").glob("*.parquet")
     assert [pq.ParquetFile(file).metadata.row_group(i).num_rows for i in range(3)] == [100, 100, 50]
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "one.json").write_text('{"name":"x","age":3}\n[{"name":"y","age":4},{"name":"z"}]\n')
+    (tmp_path / "in" / "one.json").write_text('{"host":"ox","port":3}\n[{"host":"elk","port":4},{"host":"yak"}]\n')
     stream = spark.readStream.text(str(tmp_path / "in"))
-    stream_to_parquet(stream, "value", flat_fields(Person), str(tmp_path / "out"), str(tmp_path / "ck"), available_now=True).awaitTermination(60)
-    assert sorted((r.name, r.age) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("x", 3), ("y", 4), ("z", None)]
+    stream_to_parquet(stream, "value", flat_fields(Server), str(tmp_path / "out"), str(tmp_path / "ck"), available_now=True).awaitTermination(60)
+    assert sorted((r.host, r.port) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("elk", 4), ("ox", 3), ("yak", None)]
     assert read_documents(spark, str(tmp_path / "in")).count() == 2
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master, _jsc = "spark://x", spark.sparkContext._jsc
+
+    class Session:
+        conf, sparkContext = spark.conf, Context()
+
+    class Unset:
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return self
+
+        def isDefined(self):
+            return False
+
+    Context._jsc = Unset()
+    with pytest.raises(ValueError):
+        shared_dir(Session())
+    assert shared_dir(spark)
