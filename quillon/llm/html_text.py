@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ASIDE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_STOP = re.compile(r"[\"'>]")
+# A name starts where no part of a name stands before it, so that long runs are looked at once.
+_ATTR = re.compile(r"""(?<![^\s"'>/=])([^\s"'>/=]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_LONG_NUMBER = re.compile(r"&#(?:[xX]0*+([0-9a-fA-F]*)|0*+([0-9]*));?")
 _SPACE = re.compile(r"\s+")
 
 # Names of HTML elements by their role.
@@ -38,55 +43,108 @@ _GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|t
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "points", "size", "linked", "cut")
+    __slots__ = ("tag", "attrs", "parent", "items", "points", "size", "linked", "commas", "cut")
 
     def __init__(self, tag: str, attrs: str, parent: _Node | None):
         self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
-        self.points, self.size, self.linked, self.cut = 0.0, 0, 0, False
+        self.points, self.size, self.linked, self.commas, self.cut = 0.0, 0, 0, 0, False
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it ends an element, name, attributes) of each tag; comments and declarations have no name.
+
+    A quote that is never closed is an ordinary character, and a tag that is never closed is text.
+    The caller sends the place to go on from, or None for the tag's end. Each character is looked at a bounded number of times.
+    """
+    at, n, open_ended = 0, len(page), set()
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), start):
+            end = _ASIDE.match(page, start).end()
+            at = (yield start, end, False, "", "") or end
+            continue
+        m = _TAG.match(page, start)
+        if not m:
+            at = start + 1
+            continue
+        to = m.end()
+        while stop := _STOP.search(page, to):
+            to = stop.end()
+            mark = stop[0]
+            if mark == ">":
+                break
+            if mark not in open_ended:
+                closing = page.find(mark, to)
+                if closing < 0:
+                    open_ended.add(mark)
+                else:
+                    to = closing + 1
+        else:
+            return
+        at = (yield start, to, bool(m[1]), m[2].lower(), page[m.end() : to - 1]) or to
+
+
+class _Open:
+    """The open elements, outermost first, and for each name the depths at which it is open."""
+
+    def __init__(self, root: _Node):
+        self.path, self.depths, self.blocks = [root], {}, [0]
+
+    def push(self, node: _Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in _BLOCK and node.tag != "p":
+            self.blocks.append(len(self.path))
+        self.path.append(node)
+
+    def close(self, depth: int) -> None:
+        """Close all that is open at this depth and below."""
+        while len(self.path) > depth:
+            node = self.path.pop()
+            self.depths[node.tag].pop()
+            if self.blocks[-1] == len(self.path):
+                self.blocks.pop()
+
+    def deepest(self, names) -> int:
+        return max((d[-1] for t in names if (d := self.depths.get(t))), default=0)
+
+    def outermost(self, names, below: int) -> int:
+        """The smallest depth over ``below`` where one of the names is open; 0 without any."""
+        return min((d[bisect_right(d, below)] for t in names if (d := self.depths.get(t)) and d[-1] > below), default=0)
 
 
 def _tree(page: str) -> _Node:
-    """Tree of a page, lenient as browsers are: tags may be left open, cross or end nowhere."""
-    root = now = _Node("#root", "", None)
+    """Tree of a page, lenient as browsers are: tags may be left open, cross or end nowhere. Linear in the page."""
+    root = _Node("#root", "", None)
+    now = _Open(root)
     at, n = 0, len(page)
     lower = None
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            now.items.append(page[at:])
+    tags, onwards = _tags(page), None
+    while True:
+        try:
+            start, end, ends, tag, attrs = tags.send(onwards)
+        except StopIteration:
             break
-        if m.start() > at:
-            now.items.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        onwards = None
+        if start > at:
+            now.path[-1].items.append(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if ends:
             if tag == "br":
-                now.items.append(" ")
+                now.path[-1].items.append(" ")
                 continue
-            up = now
-            while up.parent and up.tag != tag:
-                if up.tag in ("td", "th", "table") and tag not in _BLOCK:
-                    break  # an inline end tag does not close a table
-                up = up.parent
-            if up.parent and up.tag == tag:
-                now = up.parent
+            depth = now.deepest((tag,))
+            if depth and (tag in _BLOCK or depth >= now.deepest(("td", "th", "table"))):  # an inline end tag does not close a table
+                now.close(depth)
             continue
-        if tag in _CLOSES_P or tag in _CLOSES:
-            fence = _FENCE.get(tag, frozenset())
-            shut = _CLOSES.get(tag, frozenset())
-            up = now
-            while up.parent and up.tag not in fence:
-                if up.tag in shut or (up.tag == "p" and tag in _CLOSES_P):
-                    now = up.parent
-                    if up.tag != "p" or not shut:
-                        break
-                elif up.tag in _BLOCK and up.tag != "p" and not shut:
-                    break
-                up = up.parent
-        node = _Node(tag, m[3], now)
-        now.items.append(node)
+        if shut := _CLOSES.get(tag):
+            depth = now.outermost(shut | {"p"} if tag in _CLOSES_P else shut, now.deepest(_FENCE[tag]))
+            if depth:
+                now.close(depth)
+        elif tag in _CLOSES_P and (depth := now.deepest(("p",))) > now.blocks[-1]:
+            now.close(depth)
+        node = _Node(tag, attrs, now.path[-1])
+        node.parent.items.append(node)
         if tag in _RAW:
             if lower is None:
                 lower = page.lower()
@@ -96,11 +154,13 @@ def _tree(page: str) -> _Node:
             end = n if end < 0 else end
             if tag in ("title", "textarea"):
                 node.items.append(page[at:end])
-            at = page.find(">", end) + 1 or n
-        elif tag not in _VOID and not m[3].endswith("/"):
-            now = node
+            onwards = at = page.find(">", end) + 1 or n
+        elif tag not in _VOID and not attrs.endswith("/"):
+            now.push(node)
         elif tag in ("br", "hr"):
-            now.items.append(" ")
+            node.parent.items.append(" ")
+    if at < n:
+        now.path[-1].items.append(page[at:])
     return root
 
 
@@ -161,13 +221,13 @@ def _prepare(root: _Node) -> None:
             inside -= 1
         own = "".join(x for x in node.items if type(x) is str)
         below = [x for x in node.items if type(x) is _Node and not x.cut]
-        node.size = len(own.strip()) + sum(x.size for x in below)
+        bare, commas = len(own.strip()), own.count(",") + own.count("،") + own.count("，")
+        node.size, node.commas = bare + sum(x.size for x in below), commas + sum(x.commas for x in below)
         node.linked = node.size if node.tag == "a" else sum(x.linked for x in below)
-        if node.size and (node.tag in _PARAGRAPH or (node.tag in ("div", "section", "article", "main", "body") and own.strip())):
-            words = node.size if node.tag in _PARAGRAPH else len(own.strip())
-            text = own if node.tag not in _PARAGRAPH else _plain(node)
-            points = (1 + text.count(",") + text.count("،") + text.count("，") + min(words / 100, 3)) * (1 - node.linked / max(1, node.size))
-            share, up = 1.0, node if node.tag not in _PARAGRAPH else node.parent
+        if node.size and (node.tag in _PARAGRAPH or (node.tag in ("div", "section", "article", "main", "body") and bare)):
+            whole = node.tag in _PARAGRAPH
+            points = (1 + (node.commas if whole else commas) + min((node.size if whole else bare) / 100, 3)) * (1 - node.linked / max(1, node.size))
+            share, up = 1.0, node.parent if whole else node
             level = 0
             while up is not None and level < 4:
                 up.points += points * share
@@ -176,17 +236,6 @@ def _prepare(root: _Node) -> None:
                 up = up.parent
 
 
-def _plain(node: _Node) -> str:
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if type(x) is str:
-            out.append(x)
-        elif not x.cut:
-            stack.extend(reversed(x.items))
-    return "".join(out)
-
-
 def _best(root: _Node) -> list[_Node]:
     """The best container with the siblings that belong to it, in page order."""
     nodes = [n for n, down in _walk(root) if down and not n.cut]
@@ -218,13 +267,20 @@ def _best(root: _Node) -> list[_Node]:
     return kept
 
 
+def decoded(text: str) -> str:
+    """Character references decoded; numbers beyond any character become U+FFFD, however long they are."""
+    if "&" not in text:
+        return text
+    return html.unescape(_LONG_NUMBER.sub(lambda m: "\ufffd" if len(m[1] or m[2] or "") > 7 else m[0], text))
+
+
 def _blocks(nodes: list[_Node]) -> list[str]:
     """Texts of the blocks in page order; white space is one space, character references are decoded."""
     out: list[str] = []
     now: list[str] = []
 
     def close():
-        text = _SPACE.sub(" ", html.unescape("".join(now))).strip()
+        text = _SPACE.sub(" ", decoded("".join(now))).strip()
         now.clear()
         if text:
             out.append(text)
@@ -258,13 +314,29 @@ def main_text(page: str | None) -> str:
 
 def visible_text(page: str | None) -> str:
     """All text of a page but scripts, styles and the head: what a plain-text conversion keeps."""
+    return outline(page)[0]
+
+
+def outline(page: str | None) -> tuple[str, str, str, list[str]]:
+    """(visible text, title, language, link targets in page order) of a page."""
     if not page:
-        return ""
+        return "", "", "", []
     root = _tree(page)
+    title = language = None
+    links = []
+    for node, down in _walk(root):
+        if not down:
+            continue
+        if node.tag == "a" and (to := _attr(node, "href").strip()):
+            links.append(decoded(to))
+        elif node.tag == "title" and title is None:
+            title = " ".join(decoded("".join(x for x in node.items if type(x) is str)).split())
+        elif node.tag == "html" and language is None:
+            language = _attr(node, "lang")
     for node, down in _walk(root):
         if down:
             node.cut = node.tag in ("head", "script", "style", "noscript", "template", "iframe")
-    return "\n".join(_blocks([root]))
+    return "\n".join(_blocks([root])), title or "", language or "", links
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

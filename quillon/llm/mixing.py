@@ -87,8 +87,21 @@ def token_count(text_col: str = "text") -> Column:
 
 
 def topic_of(text_col: str = "text") -> Column:
-    """A stand-in where no topics are known: the first hexadecimal digit of the MD5 of the first word."""
-    return F.substring(F.md5(F.regexp_extract(F.coalesce(F.col(text_col), F.lit("")), r"[^ \t\n\r\f\x0B]+", 0)), 1, 1)
+    """What kind of text a document is, from its whole text, for tables without topics.
+
+    The first that holds: table (5 and more bars), code (braces, semicolons and angle brackets are 2 % of
+    the characters and more), figures (digits are 10 % and more), questions (a third and more of the
+    sentence marks are question or exclamation marks), brief (under 400 characters), prose. Null counts as empty.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    size = F.length(text)
+
+    def count(marks: str) -> Column:
+        return size - F.length(F.translate(text, marks, ""))
+
+    asked, ended = count("?!"), count(".")
+    found = F.when(count("|") >= 5, "table").when((count("{};<>") * 50 >= size) & (size > 0), "code").when((count("0123456789") * 10 >= size) & (size > 0), "figures")
+    return found.when((asked > 0) & (asked * 3 >= asked + ended), "questions").when(size < 400, "brief").otherwise("prose")
 
 
 def unit_hash(id_col: str, seed: str = "") -> Column:
@@ -96,21 +109,23 @@ def unit_hash(id_col: str, seed: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def mix(docs: DataFrame, dims: list[Column], targets: list[dict[str, float]] | None = None, tokens: Column | None = None, id_col: str = "doc_id", power: float = 0.7, budget: float | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """All rows with ``tokens``, ``weight``, ``probability`` and ``sampled`` added (in ``__mix``).
+def mix(docs: DataFrame, dims: list[Column], targets: list[dict[str, float]] | None = None, tokens: Column | None = None, id_col: str = "doc_id", power: float = 0.7, budget: float | None = None, rounds: int = ROUNDS, name: str = "__mix") -> DataFrame:
+    """All rows with ``tokens``, the categories, ``weight``, ``probability`` and ``sampled`` added in the struct ``name``.
 
     ``targets`` has a share for each category and dimension; None takes them from the observed
     weights of all categories by ``tempered(.., power)``. Categories without one of the given
     targets fall together under "(other)", and nulls always. Up to ``MAX_CELLS`` occurring cells
     are fitted on the driver, more by ``fit_apart``. Weights are the fitted factors; probabilities
     are proportional to them, with the largest at 1, or scaled down to ``budget`` expected tokens.
-    Documents without tokens have their cell's probability. Repeated ids are sampled together; an
-    empty table gives no rows.
+    Documents without tokens have their cell's probability; a cell without any tokens has weight 0.
+    Repeated ids are sampled together; an empty table gives no rows. Columns of any name may be in
+    ``docs``; one that is called ``name`` is replaced.
     """
     spark = docs.sparkSession
     tokens = token_count() if tokens is None else tokens
     names = [f"d{i}" for i in range(len(dims))]
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), tokens.alias("tokens"), *[F.coalesce(d.cast("string"), F.lit(OTHER)).alias(n) for d, n in zip(dims, names)])
+    own = [c for c in docs.columns if c != name]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), tokens.alias("tokens"), unit_hash(f"`{id_col}`").alias("u"), *[F.coalesce(d.cast("string"), F.lit(OTHER)).alias(n) for d, n in zip(dims, names)])
     for n, t in zip(names, targets or []):
         keyed = keyed.withColumn(n, F.when(F.col(n).isin(*t), F.col(n)).otherwise(F.lit(OTHER)) if t else F.lit(OTHER))
     seen = materialize(keyed.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")  # the texts are read once for this
@@ -131,9 +146,8 @@ def mix(docs: DataFrame, dims: list[Column], targets: list[dict[str, float]] | N
         scale *= min(1.0, budget / (expected * scale)) if expected else 1.0
     table = table.withColumn("probability", F.round(F.col("weight") * F.lit(scale), 6))
     found = keyed.join(place(table), names)
-    found = found.withColumn("__u", unit_hash(f"__doc.`{id_col}`"))
-    extra = F.struct("tokens", *names, "weight", "probability", (F.col("__u") < F.col("probability")).alias("sampled")).alias("__mix")
-    return found.select(*[F.col(f"__doc.`{c}`") for c in docs.columns], extra)
+    extra = F.struct("tokens", *names, "weight", "probability", (F.col("u") < F.col("probability")).alias("sampled")).alias(name)
+    return found.select(*[F.col(f"doc.`{c}`") for c in own], extra)
 
 
 def _along(cells: dict[tuple, float], d: int) -> dict[str, float]:

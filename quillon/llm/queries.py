@@ -46,7 +46,7 @@ def op6_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as response records, and from these their derivatives: identifiers, digests, and what the records hold."""
     found = warc.derivatives(warc.responses(_read(spark, sf_dir, "pages")))
-    return found.select(F.col("id").alias("page_id"), "url", "response_id", "payload_digest", "digest_valid", "metadata_id", "metadata_digest", F.length("metadata").cast("long").alias("metadata_bytes"), "conversion_id", "conversion_digest", F.length("conversion").cast("long").alias("conversion_bytes"), "n_links", "text")
+    return found.select(F.col("id").alias("page_id"), "url", "response_id", "payload_digest", "digest_valid", "complete", "metadata_id", "metadata_digest", F.length("metadata").cast("long").alias("metadata_bytes"), "conversion_id", "conversion_digest", F.length("conversion").cast("long").alias("conversion_bytes"), "n_links", "text")
 
 
 def op8_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op8_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets: each dimension's shares of tokens, tempered. The tables have no topic; the first word's hash stands for it."""
+    """Targets: each dimension's shares of tokens, tempered. The tables have no topic; the kind of text (``topic_of``) is the third dimension."""
     docs = _read(spark, sf_dir, "documents")
     mixed = mixing.mix(docs.select("doc_id", "text", "source", "lang"), [F.col("source"), F.col("lang"), mixing.topic_of()])
     m = "__mix"
@@ -112,12 +112,21 @@ SELECT doc_id, CAST(len(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0
 FROM d LEFT JOIN c USING (r)"""
 
 
+def _marks(marks: str) -> str:
+    return f"(length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{marks}', '')))"
+
+
+_TOPIC = f"""CASE WHEN {_marks("|")} >= 5 THEN 'table' WHEN {_marks("{};<>")} * 50 >= length(coalesce(text, '')) AND length(coalesce(text, '')) > 0 THEN 'code'
+    WHEN {_marks("0123456789")} * 10 >= length(coalesce(text, '')) AND length(coalesce(text, '')) > 0 THEN 'figures'
+    WHEN {_marks("?!")} > 0 AND {_marks("?!")} * 3 >= {_marks("?!")} + {_marks(".")} THEN 'questions' WHEN length(coalesce(text, '')) < 400 THEN 'brief' ELSE 'prose' END"""
+
+
 def _op9_sql() -> str:
     """Fitting unrolled: one step for each round and dimension."""
     dims = ("source", "lang", "topic")
-    sql = """
+    sql = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '(other)') AS source, coalesce(lang, '(other)') AS lang,
-    substr(md5(regexp_extract(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+')), 1, 1) AS topic, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+')) AS tokens FROM documents),
+    {_TOPIC} AS topic, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]+')) AS tokens FROM documents),
 v0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS w, CAST(sum(tokens) AS DOUBLE) / sum(sum(tokens)) OVER () AS now FROM d GROUP BY ALL HAVING sum(tokens) > 0)"""
     for x in dims:
         sql += f",\nt_{x} AS MATERIALIZED (SELECT {x}, pow(sum(w), 0.7) / sum(pow(sum(w), 0.7)) OVER () AS share FROM v0 GROUP BY {x})"

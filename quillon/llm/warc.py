@@ -17,12 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.html_text import visible_text
+from quillon.llm.html_text import outline
 
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.-]+)", re.I)
+# The charset of the HTTP field, and that of a meta element anywhere in the page.
+_CHARSET = re.compile(r"charset\s*+=\s*+[\"']?\s*+([\w.-]+)", re.I)
+_META = re.compile(rb"<meta\b[^<>]*?\bcharset\s*+=\s*+[\"']?\s*+([\w.-]+)", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -43,8 +42,11 @@ def make_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record. Stops at what is no record; header names are as written, a repeated one keeps its first value."""
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """(headers, block, whether the block is as long as its header says) of each record.
+
+    Stops at what is no record; header names are as written, a repeated one keeps its first value.
+    """
     at = 0
     while data.startswith(b"WARC/", at):
         end = data.find(b"\r\n\r\n", at)
@@ -56,7 +58,8 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             headers.setdefault(name.strip(), value.strip())
         size = headers.get("Content-Length", "0")
         size = int(size) if size.isdigit() else 0
-        yield headers, data[end + 4 : end + 4 + size]
+        block = data[end + 4 : end + 4 + size]
+        yield headers, block, len(block) == size
         at = end + 4 + size
         while data.startswith(b"\r\n", at):
             at += 2
@@ -79,47 +82,46 @@ def response_record(key: object, url: str | None, page: str | None, date: str) -
     return make_record(headers, block)
 
 
-def derive(record: bytes | None) -> dict | None:
-    """The metadata and the conversion record of a response record; None for anything else."""
-    first = next(parse_records(bytes(record)), None) if record else None
-    if first is None or first[0].get("WARC-Type", "").lower() != "response":
-        return None
-    source, block = first
+def derive(record: bytes | None) -> Iterator[dict]:
+    """The metadata and the conversion record of each response record in a value."""
+    for source, block, complete in parse_records(bytes(record)) if record else ():
+        if source.get("WARC-Type", "").lower() == "response":
+            yield _derived(source, block, complete)
+
+
+def _derived(source: dict[str, str], block: bytes, complete: bool) -> dict:
     status, fields, body = split_http(block)
     kind = next((v for k, v in fields if k.lower() == "content-type"), "")
-    charset = (_CHARSET.search(kind) or _CHARSET.search(body[:2048].decode("latin-1")) or [None, "utf-8"])[1]
+    charset = m[1] if (m := _CHARSET.search(kind)) else m[1].decode("latin-1") if (m := _META.search(body)) else "utf-8"
     try:
         page = body.decode(charset, "replace")
     except LookupError:
         page = body.decode("utf-8", "replace")
     url, own = source.get("WARC-Target-URI", ""), source.get("WARC-Record-ID", "")
-    text = visible_text(page)
-    links, seen = [], set()
-    for m in _HREF.findall(page):
-        raw = m[0] or m[1] or m[2]
+    text, title, language, targets = outline(page)
+    links = {}
+    for raw in targets:
         try:
-            to = urljoin(url, raw)
+            links[urljoin(url, raw)] = True
         except ValueError:
-            to = raw
-        if to not in seen:
-            seen.add(to)
-            links.append(to)
+            links[raw] = True
     lines = [("status", status), *((f"http-{k.lower()}", v) for k, v in fields), ("charset", charset)]
-    lines += [("title", " ".join(m[1].split()))] if (m := _TITLE.search(page)) else []
-    lines += [("language", m[1])] if (m := _LANG.search(page)) else []
+    lines += [(k, v) for k, v in (("title", title), ("language", language)) if v]
     lines += [("outlink", x) for x in links]
     about = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in lines).encode("utf-8", "surrogatepass")
     plain = text.encode("utf-8", "surrogatepass")
-    kept = [("WARC-Target-URI", url), ("WARC-Date", source.get("WARC-Date", "")), ("WARC-Refers-To", own), ("WARC-Source-Payload-Digest", source.get("WARC-Payload-Digest", digest(body))), ("WARC-Source-Block-Digest", source.get("WARC-Block-Digest", digest(block)))]
+    given = source.get("WARC-Payload-Digest")
+    kept = [("WARC-Target-URI", url), ("WARC-Date", source.get("WARC-Date", "")), ("WARC-Refers-To", own), ("WARC-Source-Payload-Digest", given or digest(body)), ("WARC-Source-Block-Digest", source.get("WARC-Block-Digest", digest(block)))]
     ids = {k: record_id(k, own, url) for k in ("metadata", "conversion")}
-    out = {"url": url, "response_id": own, "payload_digest": source.get("WARC-Payload-Digest", ""), "digest_valid": digest(body) == source.get("WARC-Payload-Digest", digest(body)), "n_links": len(links), "text": text}
+    valid = None if not given or not given.lower().startswith("sha1:") else given.lower() == digest(body).lower()
+    out = {"url": url, "response_id": own, "payload_digest": given or "", "digest_valid": valid, "complete": complete, "n_links": len(links), "text": text}
     for name, content, data in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", plain)):
         out |= {f"{name}_id": ids[name], f"{name}_digest": digest(data)}
         out[name] = make_record([("WARC-Type", name), ("WARC-Record-ID", ids[name]), *kept, ("WARC-Block-Digest", out[f"{name}_digest"]), ("Content-Type", content)], data)
     return out
 
 
-_FIELDS = {"url": "string", "response_id": "string", "payload_digest": "string", "digest_valid": "boolean", "n_links": "long", "text": "string", "metadata_id": "string", "metadata_digest": "string", "metadata": "binary", "conversion_id": "string", "conversion_digest": "string", "conversion": "binary"}
+_FIELDS = {"url": "string", "response_id": "string", "payload_digest": "string", "digest_valid": "boolean", "complete": "boolean", "n_links": "long", "text": "string", "metadata_id": "string", "metadata_digest": "string", "metadata": "binary", "conversion_id": "string", "conversion_digest": "string", "conversion": "binary"}
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -136,12 +138,14 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 def derivatives(records: DataFrame, id_col: str = "id", record_col: str = "record") -> DataFrame:
     """A row for each response record: its identifiers, digests, text, and both derived records as bytes.
 
-    Null, broken and other records give no rows; repeated records give equal rows.
+    ``digest_valid`` is null where the record has no SHA-1 digest to compare, ``complete`` false where
+    its block is cut short. A value may hold several records. Null, broken and other records give no
+    rows; repeated records give equal rows. Other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, d) for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (d := derive(r))]
+            rows = [(i, d) for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for d in derive(r)]
             kinds = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], b.schema.field(0).type), *(pa.array([d[k] for _, d in rows], kinds[t]) for k, t in _FIELDS.items())], ["id", *_FIELDS])
 
