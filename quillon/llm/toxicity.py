@@ -13,13 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import as_bytes
+from quillon.llm.common import as_bytes, materialize
 
 #: Most labelled documents the classifier is fitted on: those with the smallest hashes of their ids.
 MAX_FIT = 5_000
+#: Most bytes of their texts, in the order of those hashes; the texts after them are left out.
+MAX_FIT_BYTES = 64 << 20
+#: What makes a feature usable: documents it occurs in at least, standard errors its log-odds differ from chance, and the log-odds themselves.
+AT_LEAST, ERRORS, ODDS = 4, 4.0, 1.0
+#: Most usable features, those furthest from chance; weight decay; steps of fitting.
+MOST_FEATURES, DECAY, STEPS = 4_000, 1e-4, 300
 
 # Terms for identity groups, by kind; a swap stays within a kind.
 IDENTITY_TERMS = [
@@ -107,8 +113,12 @@ def _columns(sentence: bytes, at: dict[bytes, int]) -> list[int]:
     return sorted({at[f] for w in words_in(sentence) for f in word_features(w) if f in at})
 
 
-def fit(texts: list[bytes], labels: np.ndarray, swap_weight: float = 1.0, l2: float = 1e-3, rounds: int = 300, most: int = 4000, at_least: int = 4) -> Model:
-    """Fit the model. Without both classes the score is the share of label 1 for every text."""
+def fit(texts: list[bytes], labels: np.ndarray, swap_weight: float = 1.0) -> Model:
+    """Fit the model. Without both classes the score is the share of label 1 for every text.
+
+    ``swap_weight`` weighs the mean squared change of the log-odds that swaps make against the mean
+    loss of a document; 0 leaves the penalty out. Where no labelled text mentions a group it has nothing to act on.
+    """
     labels = np.asarray(labels, float)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     bias = float(np.log(share / (1 - share)))
@@ -124,8 +134,8 @@ def fit(texts: list[bytes], labels: np.ndarray, swap_weight: float = 1.0, l2: fl
     a, b = share_of(1), share_of(0)
     odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
     z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-    telling, feature = np.flatnonzero((a + b >= at_least) & (z >= 4) & (np.abs(odds) >= 1)), list(numbers)
-    names = sorted(f for _, f in sorted((-z[i], feature[i]) for i in telling.tolist())[:most])
+    telling, feature = np.flatnonzero((a + b >= AT_LEAST) & (z >= ERRORS) & (np.abs(odds) >= ODDS)), list(numbers)
+    names = sorted(f for _, f in sorted((-z[i], feature[i]) for i in telling.tolist())[:MOST_FEATURES])
     if not names:
         return Model({}, bias)
     at = {f: i for i, f in enumerate(names)}
@@ -141,10 +151,10 @@ def fit(texts: list[bytes], labels: np.ndarray, swap_weight: float = 1.0, l2: fl
     qr, qc, _ = matrix([_columns(s, at) for _, s in pairs])
     w, b0 = np.zeros(len(names)), bias
     m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
-    for step in range(1, rounds + 1):
+    for step in range(1, STEPS + 1):
         z = b0 + np.bincount(r, w[c], n)
         err = (1 / (1 + np.exp(-z)) - labels) * even / n
-        g = np.bincount(c, err[r], len(names)) + l2 * w / 10
+        g = np.bincount(c, err[r], len(names)) + DECAY * w
         gb = err.sum()
         if pn:  # the penalty on the mean squared change of score that the swaps make
             gap = (np.bincount(pr, w[pc], pn) - np.bincount(qr, w[qc], pn)) * (2 * swap_weight / pn)
@@ -183,16 +193,18 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit: int = MAX_FIT, swap_weight: float = 1.0) -> Model:
-    """Fit on labelled documents that are not held out: at most ``max_fit``, those with the smallest hashes of their ids.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit: int = MAX_FIT, swap_weight: float = 1.0, max_bytes: int = MAX_FIT_BYTES) -> Model:
+    """Fit on labelled documents that are not held out: at most ``max_fit``, those with the smallest hashes of their ids, up to ``max_bytes`` of text.
 
     Ids labelled more than once count with their largest label, null ids and null labels are left
     out, null texts count as empty. The sample is chosen among the labels, so that only its texts
-    (at most ``max_fit`` ids, hence the broadcast) leave the executors.
+    (at most ``max_fit`` ids, hence the broadcast) are looked up, and only those within the bytes leave the executors.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).cast("int").alias("y"))
     few = known.where(~held_out("k")).orderBy(F.xxhash64("k"), "k").limit(max_fit)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = texts.join(F.broadcast(few), F.col("id") == F.col("k")).groupBy("k").agg(F.max("y").alias("y"), F.min("t").alias("t"))
-    got = sorted((r["k"], as_bytes(r["t"]), r["y"]) for r in rows.toLocalIterator())
+    rows = materialize(texts.join(F.broadcast(few), F.col("id") == F.col("k")).groupBy("k").agg(F.max("y").alias("y"), F.min("t").alias("t")), "labelled")
+    order = Window.orderBy(F.xxhash64("k"), "k")  # over the sizes of at most ``max_fit`` rows
+    within = rows.select("k", F.sum(F.octet_length("t")).over(order).alias("total")).where(F.col("total") <= max_bytes).select("k")
+    got = sorted((r["k"], as_bytes(r["t"]), r["y"]) for r in rows.join(F.broadcast(within), "k").toLocalIterator())
     return fit([t for _, t, _ in got], np.array([min(1, max(0, y)) for _, _, y in got]), swap_weight)
