@@ -31,6 +31,7 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _DROP = frozenset("head script style noscript template iframe svg canvas object embed nav aside footer form button select option textarea input dialog menu audio video map".split())
 _PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
+_PIECES = frozenset("table thead tbody tfoot tr td th ul ol dl li dt dd".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 # Words in class names and ids that mark what is not the text.
@@ -243,6 +244,8 @@ def _best(root: _Node) -> list[_Node]:
     if not rated:
         return [root]
     top, best = max(rated, key=lambda x: x[0])
+    while best.tag in _PIECES and best.parent is not None:  # parts of a table or list are no container of their own
+        best = best.parent
     # an article around the best container is the text as its author marked it
     up = best
     while up is not None:
