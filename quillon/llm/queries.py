@@ -112,13 +112,12 @@ SELECT doc_id, CAST(len(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0
 FROM d LEFT JOIN c USING (r)"""
 
 
-def _marks(marks: str) -> str:
-    return f"(length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{marks}', '')))"
+def _count(mark: str) -> str:
+    return f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{mark}', '')))"
 
 
-_TOPIC = f"""CASE WHEN {_marks("|")} >= 5 THEN 'table' WHEN {_marks("{};<>")} * 50 >= length(coalesce(text, '')) AND length(coalesce(text, '')) > 0 THEN 'code'
-    WHEN {_marks("0123456789")} * 10 >= length(coalesce(text, '')) AND length(coalesce(text, '')) > 0 THEN 'figures'
-    WHEN {_marks("?!")} > 0 AND {_marks("?!")} * 3 >= {_marks("?!")} + {_marks(".")} THEN 'questions' WHEN length(coalesce(text, '')) < 400 THEN 'brief' ELSE 'prose' END"""
+_ASKED = f"({_count('?')} + {_count('!')})"
+_TOPIC = f"CASE WHEN {_count('|')} >= 5 THEN 'table' WHEN {_ASKED} > 0 AND {_ASKED} * 2 >= {_count('.')} THEN 'questions' WHEN length(coalesce(text, '')) < 400 THEN 'brief' ELSE 'prose' END"
 
 
 def _op9_sql() -> str:

@@ -46,7 +46,7 @@ def test_every_row_of_odd_tables_comes_back_and_empty_tables_give_none(spark, ta
     assert queries.QUERIES[name](spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.ORACLE_SQL) - {"op9_mix_sources"}))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_as_sql_on_odd_rows(spark, tables, name):
     db = duckdb.connect()
     for t in ("documents", "benchmark"):
