@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quillon.llm.common import shuffle_partitions
+from quillon.llm.common import materialize, shuffle_partitions
 
 #: Bytes of text in a block, unless one text is longer; bytes of text for each range of hashes.
 BLOCK_BYTES, RANGE_BYTES = 1 << 20, 8 << 20
@@ -64,8 +64,11 @@ def pack(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES
     """(block, blob): all rows of ``docs`` with all columns, in compressed blocks of about ``block_bytes`` of text.
 
     The blocks are dealt out once; whatever asks or meets them in the same query reads that one
-    shuffle, so blocks keep their numbers even if the input would be split otherwise another time.
+    shuffle. A lost executor has its blocks cut again, so they must come out the same: what is not
+    read from files as it stands (a join, say, whose rows come in any order) is written first.
     """
+    if not _as_stored(docs):
+        docs = materialize(docs, "to-pack")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -81,6 +84,18 @@ def pack(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES
     return docs.mapInArrow(run, "block long, blob binary").repartition(shuffle_partitions(docs.sparkSession), "block")
 
 
+def _as_stored(df: DataFrame) -> bool:
+    """Whether rows come in a fixed order: from files, or tables of the driver, through row by row steps only."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() not in ("Project", "Filter", "MapInArrow", "MapInPandas", "LogicalRelation", "LocalRelation", "LogicalRDD"):
+            return False
+        below = plan.children()
+        todo += [below.apply(i) for i in range(below.size())]
+    return True
+
+
 def _write(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
