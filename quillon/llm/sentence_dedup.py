@@ -10,7 +10,6 @@ occurrence are removed.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,69 +28,81 @@ WORD_BYTES = 12
 #: A word ends its part if the first hexadecimal digit of its MD5 is smaller than this.
 MARKED_BELOW = 4
 
-_TOKEN = re.compile(rb"[ \t\r\f\v]*[^ \t\r\f\v\n.!?]+[.!?]*|[ \t\r\f\v]*[.!?\n]+|[ \t\r\f\v]+")
-_BLANK = b" \t\r\f\v"
+_BLANK, _MARK, _BREAK, _LETTER = range(4)
+_CLASS = np.full(256, _LETTER, np.uint8)
+_CLASS[list(b" \t\r\f\v")], _CLASS[list(b".!?")], _CLASS[10] = _BLANK, _MARK, _BREAK
+_VALUE = np.random.default_rng(3).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-_MOST_KNOWN = 200_000
-
-
-def _kind(word: bytes) -> int:
-    """0: no word, 1: a word inside a part, 2: a word that ends its part."""
-    if not word or word[0] in b".!?\n":
-        return 0
-    if word[-1] in b".!?":
-        return 2
-    return 2 if int(hashlib.md5(word).hexdigest()[0], 16) < MARKED_BELOW else 1
-
-
-def parts_of(text: bytes, known: dict[bytes, int]) -> tuple[list[bytes], list[tuple[int, int]], list[bytes]]:
-    """(tokens, token range of each part, words of each part joined by a space); the joined tokens are the text."""
-    tokens = _TOKEN.findall(text)
-    ranges, contents, own, start = [], [], [], 0
-    for k, t in enumerate(tokens):
-        word = t.lstrip(_BLANK)
-        kind = known.get(word)
-        if kind is None:
-            if len(known) > _MOST_KNOWN:
-                known.clear()
-            kind = known[word] = _kind(word)
-        if kind:
-            if not own:
-                start = k
-            own.append(word)
-        if kind != 1 and own:
-            ranges.append((start, k + 1 if kind else k))
-            contents.append(b" ".join(own))
-            own = []
-    if own:
-        ranges.append((start, len(tokens)))
-        contents.append(b" ".join(own))
-    return tokens, ranges, contents
+
+
+def _marked(words: list[bytes]) -> np.ndarray:
+    return np.array([hashlib.md5(w).digest()[0] >> 4 < MARKED_BELOW for w in words], bool)
+
+
+def _prefix_sums(values: np.ndarray) -> np.ndarray:
+    """For ``_stretch``: sums of the values times the powers of their places."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power(len(values) + 1)[0][: len(values)], out=sums[1:])
+    return sums
+
+
+def _stretch(sums: np.ndarray, start: np.ndarray, stop: np.ndarray, odd: np.uint64 = _ODD[0]) -> np.ndarray:
+    """A hash of the values from ``start`` to ``stop``, wherever they stand."""
+    return _mix((sums[stop] - sums[start]) * _power(len(sums))[1][start] + (stop - start).astype(np.uint64) * odd)
+
+
+class _Parts:
+    """The parts of a block's texts: each with its bytes (white space before it included), its hash and its words.
+
+    A word is a run of letters, anything but white space and the marks of sentences, with the marks that
+    follow. It ends its part if a mark or a line break follows, or if it is marked itself.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.data = data = b"".join(texts)
+        size = np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+        kind = _CLASS[np.frombuffer(data, np.uint8)]
+        n, letter = len(kind), kind == _LETTER
+        before, after = np.r_[False, letter[:-1]][:n], np.r_[letter[1:], False][:n]
+        before[self.starts[size > 0]] = after[self.ends[size > 0] - 1] = False
+        start, stop = np.flatnonzero(letter & ~before), np.flatnonzero(letter & ~after) + 1
+        doc = np.searchsorted(self.ends, start, "right")
+        others = np.r_[np.flatnonzero(kind != _MARK), n]
+        end = np.minimum(others[np.searchsorted(others, stop)], self.ends[doc])  # after the marks
+        between = np.r_[0, np.cumsum((kind == _MARK) | (kind == _BREAK), dtype=np.int64)]
+        last = np.ones(len(start), bool)
+        last[:-1] = (doc[1:] != doc[:-1]) | (between[start[1:]] > between[stop[:-1]])
+        word = _stretch(_prefix_sums(_VALUE[np.frombuffer(data, np.uint8)]), start, end)
+        open_ = np.flatnonzero(~last)
+        _, one, which = np.unique(word[open_], return_index=True, return_inverse=True)
+        if len(open_):
+            last[open_] = _marked([data[start[k] : end[k]] for k in open_[one].tolist()])[which]
+        first = np.flatnonzero(np.r_[True, last[:-1]][: len(last)])
+        behind = np.flatnonzero(last) + 1
+        self.hash = _stretch(_prefix_sums(word), first, behind)
+        words, letters = behind - first, np.r_[0, np.cumsum(end - start)]
+        self.weight = np.maximum(words, (letters[behind] - letters[first] + words - 1) // WORD_BYTES)
+        self.doc = doc[first]
+        solid = np.r_[-1, np.flatnonzero(kind != _BLANK)]
+        self.begin = np.maximum(solid[np.searchsorted(solid, start[first]) - 1] + 1, self.starts[self.doc])
+        self.end = end[behind - 1]
 
 
 class _Runs:
     """The runs of a block's texts, and the different ones as entries in the order of their keys."""
 
     def __init__(self, table: pa.Table, id_col: str, text_col: str, run: int, least: int):
-        from xxhash import xxh3_64_intdigest
-
-        self.texts, hashes, weights, counts, known = [], [], [], [], {}
-        for t in table[text_col].to_pylist():
-            tokens, ranges, contents = parts_of(as_bytes(t), known)
-            self.texts.append((tokens, ranges))
-            hashes += [xxh3_64_intdigest(c) for c in contents]
-            weights += [max(c.count(b" ") + 1, len(c) // WORD_BYTES) for c in contents]
-            counts.append(len(ranges))
+        self.parts = parts = _Parts([as_bytes(t) for t in table[text_col].to_pylist()])
         self.ids = np.array([exchange.NO_ID if i is None else i for i in table[id_col].to_pylist()], np.int64)
-        self.counts = np.array(counts, np.int64)
-        h, total = np.array(hashes, np.uint64), np.r_[0, np.cumsum(np.array(weights, np.int64))]
-        ends = np.cumsum(self.counts)
-        doc = np.repeat(np.arange(len(counts)), self.counts)
-        at = np.arange(len(h))
+        doc, n = parts.doc, len(parts.doc)
+        self.counts = np.bincount(doc, minlength=table.num_rows)
+        ends, total, at = np.cumsum(self.counts), np.r_[0, np.cumsum(parts.weight)], np.arange(n)
         stop = np.maximum(np.searchsorted(total, total[:-1] + least, "left"), at + run)  # the run is at .. stop - 1
-        fits = stop <= ends[doc] if len(h) else np.zeros(0, bool)
+        fits = stop <= ends[doc]
         # a text without any such run is one run as a whole
-        some = np.zeros(len(counts), bool)
+        some = np.zeros(table.num_rows, bool)
         some[doc[fits]] = True
         whole = np.flatnonzero(~some & (self.counts > 0))
         self.at = np.concatenate([at[fits], (ends - self.counts)[whole]])
@@ -100,13 +111,7 @@ class _Runs:
         self.at, self.stop = self.at[by], self.stop[by]
         self.doc = doc[self.at]
         self.place = self.at - (ends - self.counts)[self.doc]
-        up, down = _power(len(h) + 1)
-        keys = []
-        for odd in _ODD:
-            sums = np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(_mix(h * odd + odd) * up[: len(h)], out=sums[1:])
-            keys.append(_mix((sums[self.stop] - sums[self.at]) * down[self.at] + (self.stop - self.at).astype(np.uint64) * odd))
-        key, other = keys
+        key, other = (_stretch(_prefix_sums(_mix(parts.hash * odd + odd)), self.at, self.stop, odd) for odd in _ODD)
         own = self.ids[self.doc]
         order = np.lexsort((self.place, own, other, key))
         k, o = key[order], other[order]
@@ -156,23 +161,21 @@ def _cut(id_col, text_col, run, least, columns):
             low[e], place[e], known[e] = i, p, True
         e = g.entry
         again = known[e] & ((g.ids[g.doc] != low[e]) | (g.place != place[e])) if len(e) else np.zeros(0, bool)
-        cover = np.zeros(int(g.counts.sum()) + 1, np.int64)
+        cover = np.zeros(len(g.parts.doc) + 1, np.int64)
         np.add.at(cover, g.at[again], 1)
         np.add.at(cover, g.stop[again], -1)
-        gone = np.cumsum(cover) > 0
-        texts, removed, at = [], [], 0
-        for (tokens, ranges), n, was in zip(g.texts, g.counts.tolist(), table[text_col].to_pylist()):
-            hit = np.flatnonzero(gone[at : at + n]).tolist()
-            at += n
-            removed.append(len(hit))
-            if hit:
-                kept, to = [], 0
-                for k in hit:
-                    kept += tokens[to : ranges[k][0]]
-                    to = ranges[k][1]
-                was = b"".join(kept + tokens[to:]).decode("utf-8", "surrogatepass")
-            texts.append(was)
-        made = {text_col: pa.array(texts, pa.string()), "n_sentences": pa.array(g.counts), "n_removed": pa.array(removed, pa.int64())}
+        gone = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+        removed = np.bincount(g.parts.doc[gone], minlength=table.num_rows)
+        texts, k, data = table[text_col].to_pylist(), 0, g.parts.data
+        for d in np.flatnonzero(removed).tolist():
+            kept, to = [], int(g.parts.starts[d])
+            for part in gone[k : k + removed[d]].tolist():
+                kept.append(data[to : g.parts.begin[part]])
+                to = int(g.parts.end[part])
+            kept.append(data[to : g.parts.ends[d]])
+            k += int(removed[d])
+            texts[d] = b"".join(kept).decode("utf-8", "surrogatepass")
+        made = {text_col: pa.array(texts, pa.string()), "n_sentences": pa.array(g.counts), "n_removed": pa.array(removed)}
         return pa.table([made[c] if c in made else table[c] for c in columns], columns)
 
     return work
