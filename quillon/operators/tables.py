@@ -24,6 +24,9 @@ BATCH_ROWS = 2_000
 #: Summaries kept in a task before they are sent on.
 MOST_HELD = 50_000
 _BIT = {"null": 0, "boolean": 1, "int": 2, "double": 4, "string": 8, "regex": 8, "array": 16, "dictionary": 32}
+_MASK = {type_: 0 if kind in (None, "null") else _BIT[kind] for type_, kind in dialect._KINDS.items()}
+#: Types whose values go into a column as they are.
+_AS_THEY_ARE = {"boolean": {bool, type(None)}, "int64": {int, type(None)}, "double": {float, type(None)}, "string": {str, type(None)}}
 _SUMMARY = pa.schema([("path", pa.list_(pa.string())), ("mask", pa.int32()), ("present", pa.int64()), ("rows", pa.int64()), ("at_row", pa.int64()), ("at_key", pa.int64())])
 
 
@@ -32,13 +35,6 @@ def _records(text):
     return () if tree is NOTHING else tree if isinstance(tree, list) else (tree,)
 
 
-def _flat_seen(record):
-    yield ("value",), record, True
-    if isinstance(record, dict):
-        for key, value in record.items():
-            yield ("key", key), value, True
-
-
 def _nested_seen(record):
     for path, _, _, key, kind, n, _, _ in _paths(record):
         yield path, kind, not (kind == "null" or (kind == "dictionary" and n == 0))
@@ -62,27 +58,51 @@ def _summaries(df: DataFrame, doc: str, nested: bool, max_fields: int, ordinal:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[list(p) for p in held], *zip(*held.values())] if held else [[]] * 6, _SUMMARY.types)], schema=_SUMMARY)
 
+        def see(path, mask, rows, at, place):
+            found = held.get(path)
+            if found is None:
+                held[path] = [mask, rows if mask else 0, rows, at, place]
+                return
+            found[0] |= mask
+            found[1] += rows if mask else 0
+            found[2] += rows
+            if at is not None and (found[3] is None or at < found[3]):
+                found[3], found[4] = at, place
+
+        shapes: dict[tuple, list] = {}
+
+        def fold():
+            """Records of one shape (keys and types) count together."""
+            for (of, keys, types), (rows, at, place) in shapes.items():
+                see(("value",), _MASK[of], rows, at, place)
+                for i, (key, kind) in enumerate(zip(keys, types), 1):
+                    see(("key", key), _MASK[kind], rows, at, place + i)
+            shapes.clear()
+
         for b in batches:
             for at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 place = 0
                 for record in _records(text):
-                    for path, x, present in (_nested_seen if nested else _flat_seen)(record):
-                        kind = x if nested else dialect.kind(x)
-                        present = present and kind != "null"
-                        mask = _BIT[kind] if present else 0
-                        found = held.get(path)
-                        if found is None:
-                            held[path] = [mask, int(present), 1, at, place]
-                        else:
-                            found[0] |= mask
-                            found[1] += present
-                            found[2] += 1
-                            if at is not None and (found[3] is None or at < found[3]):
-                                found[3], found[4] = at, place
-                        place += 1
+                    if nested:
+                        for path, kind, present in _nested_seen(record):
+                            see(path, _BIT[kind] if present and kind != "null" else 0, 1, at, place)
+                            place += 1
+                        continue
+                    shape = (dict, tuple(record), tuple(map(type, record.values()))) if type(record) is dict else (type(record), (), ())
+                    found = shapes.get(shape)
+                    if found is None:
+                        shapes[shape] = [1, at, place]
+                    else:
+                        found[0] += 1
+                        if at is not None and (found[1] is None or at < found[1]):
+                            found[1], found[2] = at, place
+                    place += 1 + len(shape[1])
+                if len(shapes) > MOST_HELD // 10:
+                    fold()
                 if len(held) > MOST_HELD:
                     yield out()
                     held.clear()
+        fold()
         yield out()
 
     place = F.col(ordinal).cast("long") if ordinal else F.monotonically_increasing_id()
@@ -182,20 +202,25 @@ def shred(df: DataFrame, doc: str, fields: list[Field], nested: bool = False, ke
     make = _node if nested else _cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[] for _ in fields]
+        def column(records, f):
+            if whole:
+                return [make(x if (v := x.get("value", NOTHING) if isinstance(x, dict) else NOTHING) is NOTHING else v, f) for x in records]
+            found = [x.get(f.name) if type(x) is dict else None for x in records]  # a missing key is like a null
+            if set(map(type, found)) <= _AS_THEY_ARE.get(f.kind, set()):
+                return found
+            return [make(x, f) for x in found]
+
         for b in batches:
-            origin: list[int] = []
+            origin, records = [], []
             for i, text in enumerate(b.column(0).to_pylist()):
-                for record in _records(text):
-                    origin.append(i)
-                    for out, f in zip(cols, fields):
-                        x = record.get(f.name, NOTHING) if isinstance(record, dict) else NOTHING
-                        out.append(make(record if whole and x is NOTHING else x, f))
+                own = _records(text)
+                records += own
+                origin += [i] * len(own)
             kept = [b.column(j + 1).take(pa.array(origin, pa.int64())) for j in range(len(keep))]
             for s in range(0, len(origin), BATCH_ROWS):
-                parts = [k.slice(s, BATCH_ROWS).cast(t) for k, t in zip(kept, arrow.types)] + [pa.array(c[s : s + BATCH_ROWS], t) for c, t in zip(cols, arrow.types[len(keep) :])]
-                yield pa.RecordBatch.from_arrays(parts, schema=arrow)
-            cols = [[] for _ in fields]
+                part = records[s : s + BATCH_ROWS]
+                made = [pa.array(column(part, f), t) for f, t in zip(fields, arrow.types[len(keep) :])]
+                yield pa.RecordBatch.from_arrays([k.slice(s, BATCH_ROWS).cast(t) for k, t in zip(kept, arrow.types)] + made, schema=arrow)
 
     return df.select(F.col(doc).alias("__doc"), *keep).mapInArrow(run, schema)
 
