@@ -18,7 +18,7 @@ def canon(text):
     ("null", "null"), (" [ null ] ", "[null]"), ("", None), ("?? ;; ??", None), (None, None),
     ("[/b{2}/m, 4]", "[/b{2}/m,4]"), ('{"rule":/q/}', '{"rule":/q/}'),
     ("[6, -7, 0, 6.25, -0.75]", "[6,-7,0,6.25,-0.75]"),
-    ('["o\\u0308","\\t\\f"]', '["ö","\\t\\f"]'),
+    ('["o\\u0308","\\t\\f"]', '["o\u0308","\\t\\f"]'),
     ("[zzfalse,maybe,true]", "[false,true]"), ("[1e3,4]", "[4]"), ("12345678901234567890", None), ('"\\ud800x"', '"�x"'), ("[NaN,3]", "[3]"),
 ])
 def test_reads_leniently(text, want):
