@@ -123,24 +123,25 @@ def test_write_groups_and_stream(spark, tmp_path):
     assert read_documents(spark, str(tmp_path / "in")).count() == 2
 
 
-def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
-    class Context:
-        master, _jsc = "spark://x", spark.sparkContext._jsc
+def test_no_folder_of_one_machine_on_a_cluster(spark):
+    class Unset:
+        """A context on a cluster, without a checkpoint folder."""
 
-    class Session:
-        conf, sparkContext = spark.conf, Context()
+        master = "spark://x"
+
+        def get(self, *_):
+            return None
 
-    class Unset:
         def sc(self):
             return self
 
-        def getCheckpointDir(self):
-            return self
+        getCheckpointDir = sc
 
         def isDefined(self):
             return False
 
-    Context._jsc = Unset()
+    context = Unset()
+    context._jsc = context.conf = context.sparkContext = context
     with pytest.raises(ValueError):
-        shared_dir(Session())
+        shared_dir(context)
     assert shared_dir(spark)
