@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -23,6 +23,8 @@ from quillon.llm.common import materialize, shuffle_partitions
 
 #: Bytes of text in a block, unless one text is longer; bytes of text for each range of hashes.
 BLOCK_BYTES, RANGE_BYTES = 1 << 20, 8 << 20
+#: Ranges for each task, 128 MB of text, where that makes more tasks than the session's shuffle partitions.
+RANGES_IN_TASK = 16
 #: What a null id counts as: larger than any other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -60,7 +62,12 @@ def unzip_arrays(blob: bytes, n: int, *kinds) -> list[np.ndarray]:
     return out
 
 
-def pack(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _tasks(spark: SparkSession, ranges: int) -> int:
+    """Tasks that grow with the bytes of text, so that a task's share doesn't."""
+    return max(shuffle_partitions(spark), -(-ranges // RANGES_IN_TASK))
+
+
+def pack(docs: DataFrame, ranges: int, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, blob): all rows of ``docs`` with all columns, in compressed blocks of about ``block_bytes`` of text.
 
     The blocks are dealt out once; whatever asks or meets them in the same query reads that one
@@ -81,7 +88,7 @@ def pack(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES
                 yield pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.array([_write(b.slice(at[0], len(at)))], pa.binary())], ["block", "blob"])
                 seq += 1
 
-    return docs.mapInArrow(run, "block long, blob binary").repartition(shuffle_partitions(docs.sparkSession), "block")
+    return docs.mapInArrow(run, "block long, blob binary").repartition(_tasks(docs.sparkSession, ranges), "block")
 
 
 def _as_stored(df: DataFrame) -> bool:
@@ -132,7 +139,7 @@ def ask(blocks: DataFrame, question: Callable[[pa.Table], Iterator[tuple[int, in
     return blocks.groupBy("block").applyInArrow(run, _ASKED)
 
 
-def answer(asked: DataFrame, reply: Callable[[list[tuple[int, int, bytes]]], Iterator[tuple[int, int, bytes]]], mark: int = 0) -> DataFrame:
+def answer(asked: DataFrame, reply: Callable[[list[tuple[int, int, bytes]]], Iterator[tuple[int, int, bytes]]], ranges: int, mark: int = 0) -> DataFrame:
     """Rows (part, block, n, data) that ``reply`` makes of a part's (block, n, data), dealt by block; ``mark`` becomes the part."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -141,7 +148,10 @@ def answer(asked: DataFrame, reply: Callable[[list[tuple[int, int, bytes]]], Ite
         trim()
         return pa.Table.from_batches([_rows(rows)])
 
-    return asked.groupBy("part").applyInArrow(run, _ASKED).repartition(shuffle_partitions(asked.sparkSession), "block")
+    tasks = _tasks(asked.sparkSession, ranges)
+    if tasks > shuffle_partitions(asked.sparkSession):
+        asked = asked.repartition(tasks, "part")
+    return asked.groupBy("part").applyInArrow(run, _ASKED).repartition(tasks, "block")
 
 
 def meet(blocks: DataFrame, answers: DataFrame, work: Callable[[int, pa.Table, list[tuple[int, int, bytes]]], pa.Table], schema: str) -> DataFrame:

@@ -196,7 +196,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     columns = [*(c for c in docs.columns if c not in ("n_sentences", "n_removed")), "n_sentences", "n_removed"]
     docs = docs.select(*[F.col(f"`{c}`") for c in columns[:-2]])
     ranges = exchange.ranges_for(docs, text_col)
-    blocks = exchange.pack(docs, text_col)
-    told = exchange.answer(exchange.ask(blocks, _ask(id_col, text_col, run, least_words, ranges)), _first)
+    blocks = exchange.pack(docs, ranges, text_col)
+    told = exchange.answer(exchange.ask(blocks, _ask(id_col, text_col, run, least_words, ranges)), _first, ranges)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return exchange.meet(blocks, told, _cut(id_col, text_col, run, least_words, columns), f"{kinds}, n_sentences long, n_removed long")

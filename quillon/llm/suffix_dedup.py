@@ -339,11 +339,11 @@ def _cut(id_col: str, text_col: str, width: int, columns: list[str], with_kept:
 
 def _repeats(docs: DataFrame, id_col: str, text_col: str, columns: list[str], width: int, with_kept: bool) -> DataFrame:
     parts = exchange.ranges_for(docs, text_col)
-    blocks = exchange.pack(docs, text_col)
+    blocks = exchange.pack(docs, parts, text_col)
     asked = exchange.ask(blocks, _ask_ranks(id_col, text_col, width, parts))
-    told = exchange.answer(asked, _answer_ranks)
+    told = exchange.answer(asked, _answer_ranks, parts)
     sent = exchange.meet(blocks, told, _send_bytes(id_col, text_col, width, parts), exchange._ASKED)
-    ranked = exchange.answer(sent, _rank_bytes(width), mark=1)
+    ranked = exchange.answer(sent, _rank_bytes(width), parts, mark=1)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
     schema = f"{kinds}, __n_bytes long, __n_removed long, __n_spans long, __kept string"
     return exchange.meet(blocks, told.union(ranked), _cut(id_col, text_col, width, columns, with_kept), schema)
