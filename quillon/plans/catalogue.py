@@ -127,6 +127,28 @@ def doc_parse_forms(spark, sf_dir):
     return c.select("k", D.parse(_text('{"k":$k,"s":"é$name"}').cast("binary")).alias("from_bytes"), D.parse(slice_).alias("from_slice"), D.parse(_text('{"k":$k}')).alias("from_text"))
 
 
+@query(f"""SELECT k, {_says('{"k":$k,"s":"é $name"}')} AS doc, true AS has_path FROM {_C}""")
+def doc_text_files(spark, sf_dir):
+    """Documents written as lines of text and read back with the file they come from."""
+    path = _fresh(spark, "text")
+    sources.write_documents(_customers(spark, sf_dir).select(D.parse(_text('{"k" : $k, "s" : "é $name"}')).alias("doc")), "doc", path)
+    t = sources.read_documents(spark, path)
+    return t.select(D.path("doc", "k", as_type="int").alias("k"), "doc", F.contains("path", F.lit("part-")).alias("has_path"))
+
+
+@query("SELECT o_orderpriority AS priority, count(*) AS n, sum(o_orderkey) AS keys FROM orders GROUP BY o_orderpriority")
+def doc_binary_files(spark, sf_dir):
+    """One document a file, read as bytes and as whole texts: arrays of the orders of each priority."""
+    path = _fresh(spark, "files")
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    one = t.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+    doc = D.object_of(priority=D.scalar("o_orderpriority"), n=D.scalar("n"), keys=D.scalar("keys"))
+    one.select("o_orderpriority", doc.alias("value")).write.partitionBy("o_orderpriority").text(path)
+    as_bytes, as_text = sources.read_binary(spark, f"{path}/*/part-*"), sources.read_documents(spark, f"{path}/*/part-*", lines=False)
+    x = D.extract("doc", priority=("string", "priority"), n=("int", "n"), keys=("int", "keys"))
+    return as_bytes.select("doc").intersect(as_text.select("doc")).select(x.alias("x")).select("x.*")
+
+
 def _sum_of_numbers(tree) -> int | None:
     return None if tree is dialect.NOTHING else sum(x for x in tree if isinstance(x, int) and not isinstance(x, bool)) if isinstance(tree, list) else -1
 
