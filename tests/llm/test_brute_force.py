@@ -5,9 +5,10 @@ import re
 import struct
 
 import numpy as np
+import pytest
 import xxhash
 
-from quillon.llm import queries
+from quillon.llm import queries, simhash
 
 
 def smallest_reachable(n, linked):
@@ -50,7 +51,9 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_simhash(spark, tmp_path):
+@pytest.mark.parametrize("crowded", [simhash.CROWDED, 40])
+def test_simhash(spark, tmp_path, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(80)]
     texts = [None, "", "One", "one two", " one\ttwo ", "É ü"]
