@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+# An ordinary tag as a whole; what is longer or has an open quote takes the slow way, so that no place is scanned far in vain.
+_ORDINARY = re.compile(r"""<(/?)([a-zA-Z][^\s/>"']{0,60}+)((?:\s[^"'<>]{0,300}+(?:"[^"]{0,300}+"[^"'<>]{0,100}+|'[^']{0,300}+'[^"'<>]{0,100}+){0,8}+)?+/?)>""")
 _ASIDE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _STOP = re.compile(r"[\"'>]")
 # A name starts where no part of a name stands before it, so that long runs are looked at once.
 _ATTR = re.compile(r"""(?<![^\s"'>/=])([^\s"'>/=]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _LONG_NUMBER = re.compile(r"&#(?:[xX]0*+([0-9a-fA-F]*)|0*+([0-9]*));?")
-_SPACE = re.compile(r"\s+")
 
 # Names of HTML elements by their role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,6 +32,7 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _DROP = frozenset("head script style noscript template iframe svg canvas object embed nav aside footer form button select option textarea input dialog menu audio video map".split())
 _PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
+_UNSEEN = frozenset("head script style noscript template iframe".split())
 _PIECES = frozenset("table thead tbody tfoot tr td th ul ol dl li dt dd".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -57,8 +59,12 @@ def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
     A quote that is never closed is an ordinary character, and a tag that is never closed is text.
     The caller sends the place to go on from, or None for the tag's end. Each character is looked at a bounded number of times.
     """
-    at, n, open_ended = 0, len(page), set()
+    at, open_ended, ordinary = 0, set(), _ORDINARY.match
     while (start := page.find("<", at)) >= 0:
+        if m := ordinary(page, start):
+            ends, tag, attrs = m.groups()
+            at = (yield start, m.end(), ends == "/", tag.lower(), attrs) or m.end()
+            continue
         if page.startswith(("<!", "<?"), start):
             end = _ASIDE.match(page, start).end()
             at = (yield start, end, False, "", "") or end
@@ -116,6 +122,7 @@ def _tree(page: str) -> _Node:
     """Tree of a page, lenient as browsers are: tags may be left open, cross or end nowhere. Linear in the page."""
     root = _Node("#root", "", None)
     now = _Open(root)
+    depths = now.depths
     at, n = 0, len(page)
     lower = None
     tags, onwards = _tags(page), None
@@ -134,7 +141,7 @@ def _tree(page: str) -> _Node:
             if tag == "br":
                 now.path[-1].items.append(" ")
                 continue
-            depth = now.deepest((tag,))
+            depth = d[-1] if (d := depths.get(tag)) else 0
             if depth and (tag in _BLOCK or depth >= now.deepest(("td", "th", "table"))):  # an inline end tag does not close a table
                 now.close(depth)
             continue
@@ -142,8 +149,8 @@ def _tree(page: str) -> _Node:
             depth = now.outermost(shut | {"p"} if tag in _CLOSES_P else shut, now.deepest(_FENCE[tag]))
             if depth:
                 now.close(depth)
-        elif tag in _CLOSES_P and (depth := now.deepest(("p",))) > now.blocks[-1]:
-            now.close(depth)
+        elif tag in _CLOSES_P and (d := depths.get("p")) and d[-1] > now.blocks[-1]:
+            now.close(d[-1])
         node = _Node(tag, attrs, now.path[-1])
         node.parent.items.append(node)
         if tag in _RAW:
@@ -283,7 +290,7 @@ def _blocks(nodes: list[_Node]) -> list[str]:
     now: list[str] = []
 
     def close():
-        text = _SPACE.sub(" ", decoded("".join(now))).strip()
+        text = " ".join(decoded("".join(now)).split())
         now.clear()
         if text:
             out.append(text)
@@ -324,22 +331,40 @@ def outline(page: str | None) -> tuple[str, str, str, list[str]]:
     """(visible text, title, language, link targets in page order) of a page."""
     if not page:
         return "", "", "", []
-    root = _tree(page)
-    title = language = None
-    links = []
-    for node, down in _walk(root):
-        if not down:
+    title, language, links = None, None, []
+    out: list[str] = []
+    now: list[str] = []
+
+    def close():
+        text = " ".join(decoded("".join(now)).split())
+        now.clear()
+        if text:
+            out.append(text)
+
+    stack: list = [(_tree(page), True)]
+    while stack:
+        x, down = stack.pop()
+        if type(x) is str:
+            now.append(x)
             continue
-        if node.tag == "a" and (to := _attr(node, "href").strip()):
+        tag = x.tag
+        if down and tag == "a" and x.attrs and (to := _attr(x, "href").strip()):
             links.append(decoded(to))
-        elif node.tag == "title" and title is None:
-            title = " ".join(decoded("".join(x for x in node.items if type(x) is str)).split())
-        elif node.tag == "html" and language is None:
-            language = _attr(node, "lang")
-    for node, down in _walk(root):
+        elif down and tag == "html" and language is None:
+            language = _attr(x, "lang")
+        elif down and tag in ("title", "head") and title is None:
+            found = x if tag == "title" else next((y for y in x.items if type(y) is _Node and y.tag == "title"), None)
+            if found is not None:
+                title = " ".join(decoded("".join(y for y in found.items if type(y) is str)).split())
+        if tag in _UNSEEN:
+            continue
+        if tag in _BLOCK:
+            close()
         if down:
-            node.cut = node.tag in ("head", "script", "style", "noscript", "template", "iframe")
-    return "\n".join(_blocks([root])), title or "", language or "", links
+            stack.append((x, False))
+            stack.extend((y, True) for y in reversed(x.items))
+    close()
+    return "\n".join(out), title or "", language or "", links
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
