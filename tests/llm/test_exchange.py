@@ -1,8 +1,10 @@
 """Blocks and ranges: tasks that grow with the text, input in no fixed order."""
 
+import os
+
 from pyspark.sql import functions as F
 
-from quillon.llm import exchange, suffix_dedup
+from quillon.llm import common, exchange, suffix_dedup
 
 
 def test_more_ranges_make_more_tasks_and_the_same_rows(spark, monkeypatch):
@@ -23,3 +25,11 @@ def test_what_has_no_fixed_order_is_written_before_it_is_packed(spark, tmp_path)
     assert not exchange._as_stored(stored.join(docs, "doc_id"))
     assert not exchange._as_stored(stored.groupBy("doc_id").agg(F.max("text").alias("text")))
     assert exchange.pack(stored.join(docs.select("doc_id"), "doc_id"), 1).count() >= 1
+
+
+def test_steps_can_be_deleted(spark, monkeypatch):
+    monkeypatch.setattr(common, "_written", [])
+    step = common.materialize(spark.range(3), "some-step")
+    (path,) = common._written
+    assert step.count() == 3 and os.path.isdir(path.removeprefix("file:"))
+    assert common.clear(spark) == 1 and not os.path.exists(path.removeprefix("file:")) and common.clear(spark) == 0
