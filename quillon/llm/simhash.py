@@ -6,7 +6,8 @@ ball of radius 2 and its ball of radius 1, and the balls meet where a string is
 
 The strings of a ball are not shuffled one by one. They are dealt by their leading bits: a
 fingerprint goes to each prefix that a string of its ball has, with the number of flips left,
-and the task that owns the prefix enumerates the rest. Prefixes with too many fingerprints
+and the task that owns the prefix enumerates the rest. Prefixes are as long as the number of fingerprints
+asks, so that an average one stays far from crowded. Prefixes with too many fingerprints
 (dense groups of near copies) are dealt again by the next bits, until whole strings are keys.
 """
 
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 from quillon.llm.common import as_bytes, materialize
 from quillon.llm.components import connected_components, spanning_stars
 
-#: Fingerprints of one prefix above which it is dealt out by more bits.
-CROWDED = 20_000
+#: Rows that an average prefix gets at most, and rows above which a prefix is dealt out by more bits.
+PER_PREFIX, CROWDED = 80_000, 200_000
 _BLOCK = 512
+_FOLDED = 20
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -79,10 +81,33 @@ def _deal(balls: DataFrame, low: int, bits: int) -> DataFrame:
     return rows.select("fp", key.alias("key"), (F.col("left") - F.col("x.k")).alias("left"), "wide")
 
 
+def _masks(low: int, flips: int) -> np.ndarray:
+    return np.array([m for m, _ in _flips(0, low, flips)], np.uint64)
+
+
 def _ball(fps: np.ndarray, low: int, flips: int) -> np.ndarray:
     """The lowest ``low`` bits of each fingerprint with up to ``flips`` of them flipped, one row for each; the key has the rest."""
-    masks = np.array([m for m, _ in _flips(0, low, flips)], np.uint64)
-    return (fps & np.uint64((1 << low) - 1))[:, None] ^ masks[None, :]
+    return (fps & np.uint64((1 << low) - 1))[:, None] ^ _masks(low, flips)[None, :]
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Strings folded to ``_FOLDED`` bits; the fold of a flipped string is the fold of the string flipped by that of the mask."""
+    out = _CODES[0][x & np.uint64(255)]
+    for j in range(1, 8):
+        out ^= _CODES[j][(x >> np.uint64(8 * j)) & np.uint64(255)]
+    return out
+
+
+def _codes() -> np.ndarray:
+    bits = np.random.default_rng(64).integers(0, 1 << _FOLDED, (8, 8))
+    out = np.zeros((8, 256), np.int64)
+    for j in range(8):
+        for b in range(8):
+            out[j] ^= np.where(np.arange(256) >> b & 1, bits[j, b], 0)
+    return out
+
+
+_CODES = _codes()
 
 
 def _meet(low: int):
@@ -103,15 +128,19 @@ def _meet(low: int):
             links_a.append(owners)
             links_b.append(np.repeat(owners[first], np.diff(np.r_[first, len(owners)])))
             strings, owners = strings[first], owners[first]
+            there = np.zeros(1 << _FOLDED, bool)  # most strings of the wide balls are in no narrow one; their folds tell
+            there[_fold(strings)] = True
             for k in (0, 1, 2):
-                big = fp[wide & (left == k)]
-                for at in range(0, len(big), _BLOCK):
-                    x = big[at : at + _BLOCK]
-                    ball = _ball(x, low, k)
+                big, masks = fp[wide & (left == k)], _masks(low, k)
+                folds, own = _fold(masks), big & np.uint64((1 << low) - 1)
+                step = max(1, _BLOCK * 1024 // len(masks))
+                for at in range(0, len(big), step):
+                    row, col = np.nonzero(there[_fold(own[at : at + step])[:, None] ^ folds[None, :]])
+                    ball = own[at + row] ^ masks[col]
                     spot = np.minimum(np.searchsorted(strings, ball), len(strings) - 1)
-                    row, col = np.nonzero(strings[spot] == ball)
-                    links_a.append(x[row])
-                    links_b.append(owners[spot[row, col]])
+                    same = strings[spot] == ball
+                    links_a.append(big[at + row[same]])
+                    links_b.append(owners[spot[same]])
         a = np.concatenate(links_a) if links_a else np.zeros(0, np.uint64)
         b = np.concatenate(links_b) if links_b else a
         near = (a != b) & (np.bitwise_count(a ^ b) <= 3)  # the middle string proves it; checked all the same
@@ -121,19 +150,32 @@ def _meet(low: int):
     return run
 
 
+def _bits_for(n: int) -> int:
+    """Bits of the shortest prefix that gets ``PER_PREFIX`` rows or fewer from ``n`` evenly spread fingerprints."""
+    return next(p for p in range(6, 41) if n * (len(_flips(0, p, 2)) + len(_flips(0, p, 1))) <= PER_PREFIX << p or p == 40)
+
+
+def _first_crowds(distinct: DataFrame, bits: int) -> DataFrame:
+    """The first prefixes that get more than ``CROWDED`` rows, from the number of fingerprints of each, without dealing them."""
+    counts = distinct.groupBy(F.shiftrightunsigned("fp", 64 - bits).alias("own")).agg(F.count("*").alias("n"))
+    masks = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(2 if k < 2 else 1).alias("times")) for m, k in _flips(0, bits, 2)])
+    rows = counts.select("own", "n", F.explode(masks).alias("x")).groupBy(F.col("own").bitwiseXOR(F.col("x.m")).alias("key")).agg(F.sum(F.col("n") * F.col("x.times")).alias("n"))
+    return rows.where(F.col("n") > CROWDED).select("key")
+
+
 def fingerprint_links(distinct: DataFrame, prefix_bits: int | None = None) -> DataFrame:
     """Links (a, b) that connect the same fingerprints as all pairs at 3 or fewer differing bits do.
 
     ``distinct`` has the distinct signed longs as ``fp``. Within a prefix the links are reduced
     to stars, so their number grows with the fingerprints and not with the pairs.
     """
-    if prefix_bits is None:  # from the count of fingerprints: some hundreds for each prefix
-        prefix_bits = int(np.clip(np.log2(distinct.count() + 1) - 7, 6, 24))
+    if prefix_bits is None:
+        prefix_bits = _bits_for(distinct.count())
     balls = distinct.select("fp", F.lit(0).cast("long").alias("key"), F.explode(F.array(F.struct(F.lit(2).alias("left"), F.lit(True).alias("wide")), F.struct(F.lit(1).alias("left"), F.lit(False).alias("wide")))).alias("s")).select("fp", "key", "s.left", "s.wide")
     low, found = 64 - prefix_bits, None
-    balls = _deal(balls, low, prefix_bits)
+    balls, crowded = _deal(balls, low, prefix_bits), _first_crowds(distinct, prefix_bits)
     while True:
-        crowds = materialize(balls.groupBy("key").count().where(F.col("count") > CROWDED).select("key"), "crowds")
+        crowds = materialize(crowded, "crowds")
         some = low > 0 and bool(crowds.take(1))
         calm = balls.join(crowds, "key", "left_anti") if some else balls
         links = calm.groupBy("key").applyInArrow(_meet(low), "a long, b long")
@@ -143,6 +185,7 @@ def fingerprint_links(distinct: DataFrame, prefix_bits: int | None = None) -> Da
         bits = min(16, low)
         balls = materialize(_deal(balls.join(crowds, "key", "left_semi"), low - bits, bits), "balls")
         low -= bits
+        crowded = balls.groupBy("key").count().where(F.col("count") > CROWDED).select("key")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -153,7 +196,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     never name a component. An empty table gives no rows.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("id").alias("first"))
+    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     labels = connected_components(fingerprint_links(classes.select("fp")))
     joined = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("first").alias("component"))
