@@ -1,10 +1,10 @@
 """License scan by conditional compression.
 
-Around lines with hints, windows that hold enough of a template's words are compressed alone and with
-these words as a raw zstandard dictionary. Only templates that save enough are looked for: a stretch that
-holds the wording, but for a few words, is compressed in the same two ways, and of stretches that
-overlap the one stays whose template saves the most bytes. It is confirmed by the exact differences in
-wording: no word that tells licenses apart (a name, a version, a negation) may be missing or added.
+Around lines with hints, every stretch that holds the wording of a template, but for a few words, is
+compressed alone and with the template as a raw zstandard dictionary. Stretches are ranked by the bytes
+that the template saves; in this order they are confirmed by their exact differences in wording, and
+one that overlaps a confirmed one is left out. No word that tells licenses apart (a name, a version, a
+negation) may be missing or added.
 Lines with hints but no such stretch are reported with the template that saves most.
 """
 
@@ -78,7 +78,7 @@ TELLING = frozenset("mit isc bsd apache mozilla eclipse gnu gpl lgpl agpl lesser
 NEGATIONS = frozenset("not never cannot isn aren wasn no longer neither nor".split())
 #: Words before a stretch among which a negation counts.
 BEFORE = 3
-#: Share of a template's words that may be missing from a stretch; share that the template must save of the stretch's compressed size, and in a window of its own.
+#: Share of a template's words that may be missing from a stretch; share of the stretch's compressed size that the template must save.
 MOST_MISSING, LEAST_SAVED = 0.1, 0.1
 #: Lines between two candidate lines that still belong to their block.
 GAP = 1
@@ -155,9 +155,6 @@ class Scanner:
         self.alone = z.ZstdCompressor(**params)
         self.given = {k: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT), **params) for k, t in self.templates.items()}
         self.words = {k: _WORD.findall(t.lower()) for k, t in self.templates.items()}
-        plain = {k: " ".join(w).encode() for k, w in self.words.items()}
-        self.known = {k: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(x, dict_type=z.DICT_TYPE_RAWCONTENT), **params) for k, x in plain.items()}
-        self.own_size = {k: len(self.alone.compress(x)) for k, x in plain.items()}
         self.counts = {k: Counter(w) for k, w in self.words.items()}
 
     def __getstate__(self):
@@ -171,22 +168,6 @@ class Scanner:
         size = len(self.alone.compress(raw))
         return sorted(((round(1 - len(c.compress(raw)) / size, 6), k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
 
-    def likely(self, own: list[str], counts: Counter) -> list[str]:
-        """Templates that save at least ``LEAST_SAVED`` of their own compressed size in some window of the words, the most bytes first.
-
-        Windows are twice as long as the template's longest stretch and begin a stretch apart, so each
-        stretch is whole in one of them; those without enough of the template's words can't hold one.
-        """
-        best = {}
-        for k, words in self.words.items():
-            reach = len(words) + int(_most_inserted(len(words)))
-            for at in range(0, max(1, len(own) - reach), reach) if self.holds(k, counts) else ():
-                part = own[at : at + 2 * reach]
-                if self.holds(k, Counter(part)):
-                    raw = " ".join(part).encode()
-                    best[k] = max(best.get(k, 0), len(self.alone.compress(raw)) - len(self.known[k].compress(raw)))
-        return sorted((k for k, n in best.items() if n >= LEAST_SAVED * self.own_size[k]), key=lambda k: (-best[k], k))
-
     def holds(self, name: str, counts: Counter) -> bool:
         """Whether counted words are enough of the template's, in any order."""
         n = len(self.words[name])
@@ -249,8 +230,7 @@ class Scanner:
     def scan(self, text: str | None) -> list[tuple]:
         """(first line, block, license, saved, words, missing, inserted, confirmed) of what is found.
 
-        Every stretch around the lines with hints that holds the wording of a ``likely`` template gives a
-        row, with the lines it lies on and the share of its own compressed size that the template saves.
+        Every stretch around the lines with hints that holds a template's wording gives a row, with the lines it lies on and the share of its own compressed size that the template saves.
         Of stretches that overlap the one whose template saves the most bytes stays. Where a template
         is missing a telling word, or a negation stands in the stretch or up to ``BEFORE`` words before
         it, it isn't confirmed, however much it saves. A run of lines with hints without any such stretch gives one unconfirmed row, with the template that saves
@@ -269,10 +249,8 @@ class Scanner:
             spots = [(m.start(), m.end()) for m in _WORD.finditer(ascii_lower(region))]
             own = [_BREAK.sub("", ascii_lower(region[x:y])) for x, y in spots]
             found, counts = [], Counter(own)
-            for name in self.likely(own, counts):
+            for name in self.templates:
                 for first, end, missing, inserted in self.stretches(name, own, counts):
-                    if not self.agrees(name, own[first:end], ascii_lower(region[spots[max(0, first - BEFORE)][0] : spots[first][0]])):
-                        continue
                     raw = region[spots[first][0] : spots[end - 1][1]].encode("utf-8", "surrogatepass")
                     size = len(self.alone.compress(raw))
                     gain = size - len(self.given[name].compress(raw))
@@ -280,7 +258,9 @@ class Scanner:
                         found.append((gain, round(gain / size, 6), name, first, end, missing, inserted))
             kept = []
             for f in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
-                if all(f[4] <= k[3] or f[3] >= k[4] for k in kept):
+                _, _, name, first, end = f[:5]
+                free = all(end <= k[3] or first >= k[4] for k in kept)
+                if free and self.agrees(name, own[first:end], ascii_lower(region[spots[max(0, first - BEFORE)][0] : spots[first][0]])):
                     kept.append(f)
             for _, saved, name, first, end, missing, inserted in kept:
                 x, y = (a + region.count("\n", 0, at) for at in (spots[first][0], spots[end - 1][1]))
